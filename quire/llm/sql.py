@@ -16,8 +16,8 @@ p AS (
 n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
 e AS (
   SELECT i, j FROM p JOIN n a ON a.doc_id = i JOIN n b ON b.doc_id = j WHERE 100 * c >= 85 * (a.n + b.n - c)),
-both AS (SELECT i, j FROM e UNION SELECT j, i FROM e),
-reach(root, at) AS (SELECT i, i FROM both UNION SELECT r.root, b.j FROM reach r JOIN both b ON b.i = r.at),
+two AS (SELECT i, j FROM e UNION SELECT j, i FROM e),
+reach(root, at) AS (SELECT i, i FROM two UNION SELECT r.root, b.j FROM reach r JOIN two b ON b.i = r.at),
 comp AS (SELECT at AS doc_id, min(root) AS c FROM reach GROUP BY 1)
 SELECT n.doc_id, n.n AS n_shingles, coalesce(c, n.doc_id) AS component_id FROM n LEFT JOIN comp USING (doc_id)
 """
