@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import sql
+from quire.llm.mixing import mix_sources
 from quire.llm.ngram_jaccard import ngram_jaccard_join
 
 
@@ -14,15 +15,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mix_sources": op2_mix_sources,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_ngram_jaccard": sql.OP10}
+    return {
+        "op2_mix_sources": sql.OP2,
+        "op10_ngram_jaccard": sql.OP10,
+    }

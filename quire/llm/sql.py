@@ -1,5 +1,32 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+OP2 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('mix/' || doc_id::VARCHAR) AS key
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+k AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+c AS (SELECT *, 3 * source_size AS cap, (3 * source_size)::DOUBLE / weight AS ratio FROM k),
+v AS (
+  SELECT *, (sum(source_size) OVER () - (sum(cap) OVER o - cap))::BIGINT::DOUBLE
+            / (sum(weight) OVER () - (sum(weight) OVER o - weight))::BIGINT::DOUBLE AS level
+  FROM c WINDOW o AS (ORDER BY ratio, source NULLS LAST)),
+l AS (SELECT arg_min(level, ratio) AS level FROM v WHERE level <= ratio),
+g AS (
+  SELECT source, source_size, CASE WHEN ratio < coalesce(l.level, ratio + 1) THEN cap::DOUBLE ELSE l.level * weight END AS target
+  FROM v, l),
+q AS (
+  SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY key)::BIGINT AS upto
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+f AS (
+  SELECT doc_id, size, source, key, (upto + r * source_size)::DOUBLE / target AS finish
+  FROM q, range(3) p(r) WHERE size > 0 AND target > 0),
+u AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, source IS NULL, source, key) AS run FROM f),
+t AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM u WHERE run <= (SELECT sum(size) FROM d) GROUP BY 1)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN t USING (doc_id)
+"""
+
 OP10 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(
@@ -17,7 +44,7 @@ n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
 e AS (
   SELECT i, j FROM p JOIN n a ON a.doc_id = i JOIN n b ON b.doc_id = j WHERE 100 * c >= 85 * (a.n + b.n - c)),
 two AS (SELECT i, j FROM e UNION SELECT j, i FROM e),
-reach(root, at) AS (SELECT i, i FROM two UNION SELECT r.root, b.j FROM reach r JOIN two b ON b.i = r.at),
-comp AS (SELECT at AS doc_id, min(root) AS c FROM reach GROUP BY 1)
+reach(root, node) AS (SELECT i, i FROM two UNION SELECT r.root, b.j FROM reach r JOIN two b ON b.i = r.node),
+comp AS (SELECT node AS doc_id, min(root) AS c FROM reach GROUP BY 1)
 SELECT n.doc_id, n.n AS n_shingles, coalesce(c, n.doc_id) AS component_id FROM n LEFT JOIN comp USING (doc_id)
 """
