@@ -27,6 +27,31 @@ t AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM u WHERE run <= (SELECT sum(
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN t USING (doc_id)
 """
 
+OP7 = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (
+  SELECT doc_id, i AS pos, regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS ln,
+         len(regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+')) AS w
+  FROM d, unnest(range(1, len(lines) + 1)) AS u(i)),
+c AS (
+  SELECT *, (sum(w) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS c, (sum(w) OVER (PARTITION BY doc_id))::BIGINT AS total
+  FROM l WHERE w > 0),
+f AS (
+  SELECT doc_id, pos AS s, max(pos) OVER a AS e, string_agg(ln, chr(10)) OVER a AS run FROM (SELECT *, c - w AS p FROM c)
+  WINDOW a AS (PARTITION BY doc_id ORDER BY p RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) QUALIFY total - p >= 10),
+b AS (
+  SELECT doc_id, min(pos) OVER a AS s, pos AS e, string_agg(ln, chr(10)) OVER a AS run FROM c
+  WINDOW a AS (PARTITION BY doc_id ORDER BY c RANGE BETWEEN 9 PRECEDING AND CURRENT ROW) QUALIFY c >= 10),
+w AS (SELECT * FROM f UNION SELECT * FROM b),
+later AS (SELECT doc_id, s, e FROM (SELECT *, min((doc_id, s)) OVER (PARTITION BY run) AS first FROM w) WHERE (doc_id, s) > first),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS pos FROM later),
+g AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY 1)
+SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       CASE WHEN gone IS NULL THEN text
+            ELSE array_to_string([lines[i] FOR i IN range(1, len(lines) + 1) IF NOT list_contains(gone, i)], chr(10)) END AS text
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 OP10 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(
