@@ -11,6 +11,7 @@ from quire.llm.language_id import identify_languages
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.mixing import mix_sources
 from quire.llm.ngram_jaccard import ngram_jaccard_join
+from quire.llm.pii import find_pii
 from quire.llm.toxicity import score_toxicity
 
 
@@ -26,6 +27,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -42,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_mix_sources": op2_mix_sources,
+        "op3_pii": op3_pii,
         "op7_line_dedup": op7_line_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_ngram_jaccard": op10_ngram_jaccard,
