@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import sql
+from quire.llm.embedding_dedup import near_duplicate_embeddings
 from quire.llm.language_id import identify_languages
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.mixing import mix_sources
+from quire.llm.multi_index import search
 from quire.llm.ngram_jaccard import ngram_jaccard_join
 from quire.llm.pii import find_pii
 from quire.llm.toxicity import score_toxicity
@@ -31,10 +33,19 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return search(rows, rows.filter("vec_id % 20 = 0"), k=20)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_embeddings(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -48,7 +59,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_mix_sources": op2_mix_sources,
         "op3_pii": op3_pii,
+        "op4_multi_index": op4_multi_index,
         "op7_line_dedup": op7_line_dedup,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
@@ -57,6 +70,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": sql.OP2,
+        "op4_multi_index": sql.OP4,
         "op7_line_dedup": sql.OP7,
+        "op8_embedding_dedup": sql.OP8,
         "op10_ngram_jaccard": sql.OP10,
     }

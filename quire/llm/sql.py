@@ -27,6 +27,18 @@ t AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM u WHERE run <= (SELECT sum(
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN t USING (doc_id)
 """
 
+OP4 = r"""
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 OP7 = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (
@@ -52,6 +64,21 @@ SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(gone), 0
 FROM d LEFT JOIN g USING (doc_id)
 """
 
+OP8 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(root, node) AS (SELECT i, i FROM l UNION SELECT r.root, l.j FROM reach r JOIN l ON l.i = r.node),
+comp AS (SELECT node AS vec_id, min(root) AS c FROM reach GROUP BY 1),
+n AS (SELECT i AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN comp USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
 OP10 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(
