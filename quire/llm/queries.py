@@ -14,6 +14,7 @@ from quire.llm.mixing import mix_sources
 from quire.llm.multi_index import search
 from quire.llm.ngram_jaccard import ngram_jaccard_join
 from quire.llm.pii import find_pii
+from quire.llm.segmentation import sample_segmentations
 from quire.llm.toxicity import score_toxicity
 
 
@@ -38,6 +39,10 @@ def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(rows, rows.filter("vec_id % 20 = 0"), k=20)
 
 
+def op5_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(_table(spark, sf_dir, "documents"), k=2)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": op2_mix_sources,
         "op3_pii": op3_pii,
         "op4_multi_index": op4_multi_index,
+        "op5_segmentation": op5_segmentation,
         "op7_line_dedup": op7_line_dedup,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_toxicity": op9_toxicity,
