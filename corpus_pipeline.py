@@ -1,28 +1,64 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.line_dedup import dedup_lines
+from quire.llm.mixing import mix_sources
 from quire.llm.ngram_jaccard import ngram_jaccard_join
 from quire.llm.scratch import Scratch
+from quire.llm.segmentation import sample_segmentations
+from quire.llm.toxicity import score_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for toxic go."""
+    toxic = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 1").select("doc_id").distinct()
+    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of runs of lines go, and with them a document that had nothing else."""
+    kept = dedup_lines(docs)
+    empty = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return kept.filter(~F.coalesce(empty, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at Jaccard 0.8 or more stays: that with the smallest id."""
     groups = ngram_jaccard_join(docs, k=5, num=4, den=5)
     lost = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti")
+    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: a document stands as often as the mix repeats it."""
+    times = mix_sources(docs).filter("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_times")).distinct()
+    rows = docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return rows.select(docs.columns)
+
+
+def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One sampled segmentation of each row, as piece numbers."""
+    return sample_segmentations(docs, k=1)
 
 
-STAGES = [("n-gram Jaccard join", near_duplicates)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mixing),
+    ("SentencePiece encoding and decoding", segmentation),
+]
 
+#: The classifier and the sampled segmentations can't be expressed in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; a later stage reads what the one before it wrote."""
+    """The stages applied to documents."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):

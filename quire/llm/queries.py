@@ -14,6 +14,7 @@ from quire.llm.mixing import mix_sources
 from quire.llm.multi_index import search
 from quire.llm.ngram_jaccard import ngram_jaccard_join
 from quire.llm.pii import find_pii
+from quire.llm.preference import conversations_as_rows, format_preferences, pair_conversations
 from quire.llm.segmentation import sample_segmentations
 from quire.llm.toxicity import score_toxicity
 
@@ -43,6 +44,10 @@ def op5_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_segmentations(_table(spark, sf_dir, "documents"), k=2)
 
 
+def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_preferences(pair_conversations(conversations_as_rows(_table(spark, sf_dir, "conversations"))))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": op3_pii,
         "op4_multi_index": op4_multi_index,
         "op5_segmentation": op5_segmentation,
+        "op6_preference": op6_preference,
         "op7_line_dedup": op7_line_dedup,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_toxicity": op9_toxicity,
@@ -77,6 +83,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": sql.OP2,
         "op4_multi_index": sql.OP4,
+        "op6_preference": sql.OP6,
         "op7_line_dedup": sql.OP7,
         "op8_embedding_dedup": sql.OP8,
         "op10_ngram_jaccard": sql.OP10,

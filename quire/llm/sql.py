@@ -39,6 +39,40 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+OP6 = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns,
+         coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS spoken
+  FROM t GROUP BY 1),
+k AS (
+  SELECT *, turns[1] AS first, conv_id // 256 AS block,
+         (row_number() OVER (PARTITION BY turns[1], conv_id // 256 ORDER BY conv_id) - 1) // 2 AS pair
+  FROM c),
+p AS (SELECT list({'id': conv_id, 'turns': turns} ORDER BY spoken DESC, conv_id) AS p FROM k GROUP BY first, block, pair),
+q AS (SELECT p[1].id AS chosen_id, p[1].turns AS ct, p[2].id AS rejected_id, p[2].turns AS rt FROM p),
+n AS (
+  SELECT *, CASE WHEN rt IS NULL
+      THEN len([i FOR i IN range(1, len(ct) + 1) IF len([x FOR x IN ct[1:i] IF x.role = 'assistant']) = 0])
+      ELSE len([i FOR i IN range(1, least(len(ct), len(rt)) + 1) IF ct[1:i] = rt[1:i]]) END AS n
+  FROM q),
+r AS (
+  SELECT chosen_id, rejected_id, n,
+         ['<|' || x.role || '|>' || chr(10) || replace(x.text, '<|', '< |') || '<|end|>' || chr(10) FOR x IN ct] AS cr,
+         ['<|' || x.role || '|>' || chr(10) || replace(x.text, '<|', '< |') || '<|end|>' || chr(10) FOR x IN rt] AS rr, ct, rt
+  FROM n)
+SELECT chosen_id, rejected_id, n::BIGINT AS n_shared, array_to_string(cr[1:n], '') AS prompt, array_to_string(cr[n + 1:], '') AS chosen,
+       CASE WHEN rt IS NOT NULL THEN array_to_string(rr[n + 1:], '') END AS rejected,
+       array_to_string([(length(array_to_string(cr[n + 1:i - 1], '')) + length(ct[i].role) + 5)::VARCHAR || '-' ||
+                        (length(array_to_string(cr[n + 1:i], '')) - 1)::VARCHAR
+                        FOR i IN range(n + 1, len(ct) + 1) IF ct[i].role = 'assistant'], ',') AS chosen_mask,
+       CASE WHEN rt IS NOT NULL THEN
+       array_to_string([(length(array_to_string(rr[n + 1:i - 1], '')) + length(rt[i].role) + 5)::VARCHAR || '-' ||
+                        (length(array_to_string(rr[n + 1:i], '')) - 1)::VARCHAR
+                        FOR i IN range(n + 1, len(rt) + 1) IF rt[i].role = 'assistant'], ',') END AS rejected_mask
+FROM r
+"""
+
 OP7 = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (
