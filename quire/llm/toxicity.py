@@ -11,6 +11,7 @@ As the softmax is linear in the mean, all that scoring needs is one number a buc
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ DIM = 16
 WINDOW = 32
 #: The classifier is fitted on at most this many labelled documents of each class, those with the smallest hash of their id,
 #: and on at most this many of their words.
-SAMPLE_PER_CLASS = 3000
-SAMPLE_WORDS = 3_000_000
+SAMPLE_PER_CLASS = 1200
+SAMPLE_WORDS = 800_000
 EPOCHS = 8
 BATCH_ROWS = 512
 CACHED_WORDS = 300_000
@@ -58,18 +59,19 @@ class _Types:
 
     def __init__(self) -> None:
         self.ids: dict[str, int] = {}
-        self.buckets: list[list[int]] = []
+        self.sizes, self.buckets = array("i"), array("i")
 
     def of(self, word: str) -> int:
         got = self.ids.get(word)
         if got is None:
-            got = self.ids[word] = len(self.buckets)
-            self.buckets.append(subwords(word))
+            got = self.ids[word] = len(self.sizes)
+            found = subwords(word)
+            self.sizes.append(len(found))
+            self.buckets.extend(found)
         return got
 
     def csr(self) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.array([len(x) for x in self.buckets])
-        return np.concatenate([[0], np.cumsum(sizes)]), np.fromiter((b for x in self.buckets for b in x), np.int32, int(sizes.sum()))
+        return np.concatenate([[0], np.cumsum(self.sizes)]), np.array(self.buckets, np.int32)
 
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -84,7 +86,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
     types, docs = _Types(), []
     for t in texts:
         docs.append(np.array([types.of(w) for w in t.lower().split()], np.int32))
-    plain = len(types.buckets)
+    plain = len(types.sizes)
     other = np.arange(plain, dtype=np.int32)
     for w, i in list(types.ids.items()):
         other[i] = types.of(_misspelt(w, rng))
@@ -208,8 +210,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     found = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("_t")).join(chosen, id_col)
     texts, ys, words = [], [], 0
     rows = found.select("_t", "_y", F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_i"))
-    got = [r for r in rows.toLocalIterator()]  # at most 2 x sample documents
-    for r in sorted(got, key=lambda r: (r._h, r._i, r._t)):
+    for r in rows.orderBy("_h", "_i", "_t").toLocalIterator():  # at most 2 x sample documents
         words += r._t.count(" ") + 1
         if words > SAMPLE_WORDS:
             break
