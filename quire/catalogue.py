@@ -1,29 +1,421 @@
-"""All queries of the engine, with their DuckDB SQL."""
+"""All queries of the engine over the driver's tables, with DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-EXACT_DUP_GROUPS_SQL = """
-WITH o AS (SELECT coalesce(lang, '?') AS package_id, doc_id, sha256(text) AS sha FROM documents)
-SELECT package_id, sha, min(doc_id) AS retained_doc_id, count(*) AS n_members, count(*) - 1 AS n_redundant
-FROM o GROUP BY package_id, sha HAVING count(*) > 1
-"""
+from quire import catalogue_sql
+from quire.config import Config
+from quire.functions import naming as N
+from quire.functions import signals as S
+from quire.functions import text as T
+from quire.operators import alignment, containment, content, exact, families, fingerprint, graph, keydocs, packing
+from quire.plans import engine, reports
+from quire.schema import RAW_PAGES, conform
+from quire.sources import decoders
+from quire.sources import testdata as D
 
+K = ["package_id", "document_id"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    keyed = docs.select(F.coalesce("lang", F.lit("?")).alias("package_id"), "doc_id", F.sha2("text", 256).alias("sha"))
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+# Exact duplicates and the text layer.
+
+
+@query
+def exact_dup_groups(spark, sf_dir):
+    keyed = D.table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("?")).alias("package_id"), "doc_id", F.sha2("text", 256).alias("sha"))
     grouped = keyed.groupBy("package_id", "sha").agg(F.min("doc_id").alias("retained_doc_id"), F.count("*").alias("n_members"))
     return grouped.filter("n_members > 1").withColumn("n_redundant", F.col("n_members") - 1)
 
 
+@query
+def exact_dup_flags(spark, sf_dir):
+    return exact.flag_exact_duplicates(D.occurrences(spark, sf_dir)).select(*K, "is_duplicate", "duplicate_of")
+
+
+@query
+def og_final_reconcile(spark, sf_dir):
+    occ = exact.flag_exact_duplicates(D.occurrences(spark, sf_dir))
+    return occ.groupBy("package_id").agg(F.count("*").alias("in_original"), F.count_if("is_duplicate").alias("exact_duplicates"), F.count_if(~F.col("is_duplicate")).alias("in_final"), F.sum("original_size_bytes").alias("bytes"))
+
+
+@query
+def page_explode(spark, sf_dir):
+    return D.raw_pages(spark, sf_dir).select(*K, "page_index", F.length("raw_text").alias("n_chars"))
+
+
+@query
+def page_normalize_hash(spark, sf_dir):
+    return fingerprint.page_fingerprints(D.raw_pages(spark, sf_dir)).select(*K, "page_index", "text_hash")
+
+
+@query
+def struct_tokens(spark, sf_dir):
+    docs = D.table(spark, sf_dir, "documents")
+    dated = F.concat(T.collapse(F.coalesce("text", F.lit(""))), F.format_string(" due 2026-01-%02d or 1/%d/26 for $%d.50", F.col("doc_id") % 28 + 1, F.col("doc_id") % 28 + 1, F.col("doc_id")))
+    found = docs.select("doc_id", dated.alias("t"))
+    join = lambda c: F.array_join(c, "|")
+    return found.select("doc_id", join(T.date_tokens(F.col("t"))).alias("dates"), join(T.dollar_tokens(F.col("t"))).alias("dollars"), join(T.name_tokens(F.col("t"))).alias("names"))
+
+
+@query
+def blank_pages(spark, sf_dir):
+    return fingerprint.page_fingerprints(D.raw_pages(spark, sf_dir)).groupBy("package_id").agg(F.count_if("is_blank").alias("blank"), F.count("*").alias("pages"))
+
+
+@query
+def doc_fingerprint(spark, sf_dir):
+    docs = fingerprint.document_fingerprints(fingerprint.page_fingerprints(D.raw_pages(spark, sf_dir)))
+    return docs.select(*K, "document_hash", "page_count", "non_blank_pages", F.col("text_length").cast("long").alias("text_length"))
+
+
+@query
+def wrap_lines(spark, sf_dir):
+    return D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.wrapped(F.col("text"))).alias("line_no", "line"))
+
+
+@query
+def paragraph_chunks(spark, sf_dir):
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\. ", ".\n \n").alias("t"))
+    return docs.select("doc_id", F.posexplode(T.paragraphs(F.col("t"))).alias("chunk_no", "chunk"))
+
+
+@query
+def garbled_text(spark, sf_dir):
+    dense = F.when(F.col("doc_id") % 7 == 0, F.regexp_replace("text", r"\s", "")).otherwise(F.col("text"))
+    return D.table(spark, sf_dir, "documents").select("doc_id", T.is_garbled(dense).alias("garbled"))
+
+
+@query
+def disguised_binary(spark, sf_dir):
+    docs = D.table(spark, sf_dir, "documents")
+    heads = F.when(F.col("doc_id") % 4 == 0, F.lit("%PDF-")).when(F.col("doc_id") % 4 == 1, F.lit("PK\x03\x04")).otherwise("")
+    coded = F.when(F.col("doc_id") % 4 == 3, F.col("text")).otherwise(F.base64(F.concat(heads, F.col("text")).cast("binary")))
+    return docs.select("doc_id", T.disguised_kind(coded).alias("kind"))
+
+
+@query
+def page_totals(spark, sf_dir):
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("page "), (F.col("doc_id") % 9).cast("string"), F.lit(" of "), (F.col("doc_id") % 11).cast("string")).alias("t"))
+    return docs.select("doc_id", T.page_total(F.col("t")).alias("total"))
+
+
+# Paths and names.
+
+
+@query
+def safe_paths(spark, sf_dir):
+    kind = F.col("page_id") % 4
+    path = F.when(kind == 0, F.regexp_replace("url", "^https?:/", "")).when(kind == 1, F.regexp_replace("url", "^https?://", "../")).when(kind == 2, F.regexp_replace("url", "^https?://", "a\\\\./b//")).otherwise(F.col("url"))
+    return D.table(spark, sf_dir, "pages").select("page_id", N.safe_path(path).alias("path"))
+
+
+@query
+def ignored_artifacts(spark, sf_dir):
+    kind = F.col("page_id") % 5
+    path = F.concat(F.regexp_replace("url", "^https?://", ""), F.when(kind == 0, "/.DS_Store").when(kind == 1, "/__MACOSX/x").when(kind == 2, "\\Thumbs.db").otherwise("/x.txt"))
+    return D.table(spark, sf_dir, "pages").select("page_id", N.is_artifact(path).alias("ignored"))
+
+
+@query
+def sanitized_names(spark, sf_dir):
+    odd = F.concat(F.lit(" ."), F.col("p_name"), F.lit('<>:"  |?*'), F.col("p_type"), F.lit(". "))
+    return D.table(spark, sf_dir, "part").select("p_partkey", N.sanitized(odd).alias("name"))
+
+
+@query
+def natural_order(spark, sf_dir):
+    named = D.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_brand"), F.lit(" File"), F.col("p_partkey").cast("string")).alias("name"))
+    return named.withColumn("place", F.row_number().over(W.orderBy(N.natural_key(F.col("name")), "p_partkey")))
+
+
+@query
+def folder_identity(spark, sf_dir):
+    key = F.col("c_custkey")
+    folder = F.when(key % 3 == 0, F.concat_ws(", ", "c_mktsegment", "c_name", key.cast("string"))).when(key % 3 == 1, F.concat_ws(" ,", "c_mktsegment", "c_name")).otherwise(F.col("c_name"))
+    last, first, loan = N.identity(folder)
+    return D.table(spark, sf_dir, "customer").select("c_custkey", last.alias("last_name"), first.alias("first_name"), loan.alias("loan_number"))
+
+
+@query
+def part_filename(spark, sf_dir):
+    key = F.col("c_custkey")
+    name = N.part_filename(F.col("c_mktsegment"), F.col("c_name"), F.lit(N.FINAL_KIND), F.when(key % 2 == 0, "Lender: A").otherwise(""), key.cast("string"), (key % 3 + 1).cast("int"), (key % 3 + 1).cast("int"))
+    return D.table(spark, sf_dir, "customer").select("c_custkey", name.alias("filename"))
+
+
+@query
+def collision_suffix(spark, sf_dir):
+    nth = F.row_number().over(W.partitionBy("p_type").orderBy("p_partkey"))
+    return D.table(spark, sf_dir, "part").select("p_partkey", N.with_copy_number(F.concat("p_type", F.lit(".pdf")), nth).alias("filename"))
+
+
+# Packing.
+
+PAGES_A_PART = 12
+BYTES_A_PART = 1
+
+
+def _packed(spark, sf_dir):
+    return packing.plan_parts(D.packing_input(spark, sf_dir), PAGES_A_PART, BYTES_A_PART)
+
+
+@query
+def plan_parts(spark, sf_dir):
+    return _packed(spark, sf_dir).select(*K, "part", "pages")
+
+
+@query
+def close_reasons(spark, sf_dir):
+    got = packing.parts(_packed(spark, sf_dir), PAGES_A_PART, BYTES_A_PART)
+    return got.select("package_id", "part", "page_count", F.col("n_documents").cast("long").alias("n_documents"), "is_oversized", F.array_join("close_reasons", "|").alias("close_reasons"))
+
+
+@query
+def part_offsets(spark, sf_dir):
+    return packing.offsets(_packed(spark, sf_dir)).select(*K, "part", "offset_in_part", "offset_overall")
+
+
+@query
+def oversized_parts(spark, sf_dir):
+    got = packing.parts(_packed(spark, sf_dir), PAGES_A_PART, BYTES_A_PART)
+    return got.filter("is_oversized").groupBy("package_id").agg(F.count("*").alias("n"), F.max("page_count").alias("largest"))
+
+
+@query
+def package_rollup(spark, sf_dir):
+    docs = D.occurrences(spark, sf_dir)
+    got = docs.rollup("package_id", F.col("converted_page_count").between(1, 5).alias("short")).agg(F.count("*").alias("documents"), F.sum("converted_page_count").alias("pages"))
+    return got.select("package_id", "short", "documents", "pages")
+
+
+# Content.
+
+
+def _unique(spark, sf_dir):
+    """(documents, pages) of what is no exact duplicate."""
+    occ = exact.flag_exact_duplicates(D.occurrences(spark, sf_dir)).filter("not is_duplicate").select(*K, "traversal_index", "is_portfolio_container")
+    pages = fingerprint.page_fingerprints(D.raw_pages(spark, sf_dir)).join(occ.select(*K), K, "left_semi")
+    return fingerprint.document_fingerprints(pages).join(occ, K), pages
+
+
+@query
+def bucket_stats(spark, sf_dir):
+    return content.bucket_stats(_unique(spark, sf_dir)[0]).groupBy("package_id").agg(F.count("*").alias("buckets"), F.max("members").alias("largest"), F.sum("pairs").alias("pairs"), F.count_if("capped").alias("capped"))
+
+
+@query
+def candidate_pairs(spark, sf_dir):
+    return content.candidate_pairs(_unique(spark, sf_dir)[0]).select("package_id", "a_id", "b_id")
+
+
+@query
+def hash_only_groups(spark, sf_dir):
+    docs, pages = _unique(spark, sf_dir)
+    return content.oversized_groups(docs, pages).select("package_id", "a_id", "b_id")
+
+
+@query
+def pair_compare(spark, sf_dir):
+    docs, pages = _unique(spark, sf_dir)
+    got = content.compared_pairs(content.candidate_pairs(docs), content.non_blank(pages))
+    return got.filter("verdict <> 'no_match'").select("package_id", "a_id", "b_id", "verdict", F.round("confidence", 6).alias("confidence"), F.array_join("vetoes", "|").alias("vetoes"))
+
+
+@query
+def content_groups(spark, sf_dir):
+    engine.ensure_checkpoints(spark)
+    return content.content_groups(*_unique(spark, sf_dir))["members"]
+
+
+@query
+def uncertain_pairs(spark, sf_dir):
+    engine.ensure_checkpoints(spark)
+    return content.content_groups(*_unique(spark, sf_dir))["uncertain"].drop("ia", "ib")
+
+
+@query
+def canonical_pick(spark, sf_dir):
+    docs = fingerprint.document_fingerprints(fingerprint.page_fingerprints(D.raw_pages(spark, sf_dir))).join(D.occurrences(spark, sf_dir).select(*K, "traversal_index", "is_portfolio_container"), K)
+    return content.canonical(docs, ["package_id", "document_hash"]).filter("members > 1")
+
+
+@query
+def exact_containment(spark, sf_dir):
+    return containment.exact_containment(*D.merged_pages(spark, sf_dir)).select("package_id", "document_id", "container_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query
+def partial_overlap(spark, sf_dir):
+    got = containment.partial_overlap(*D.merged_pages(spark, sf_dir))
+    return got.select("package_id", "document_id", "container_id", F.col("run").cast("long").alias("run"), F.round("share", 6).alias("share"))
+
+
+@query
+def components(spark, sf_dir):
+    first = D.table(spark, sf_dir, "documents").filter("text is not null").select(F.coalesce("lang", F.lit("?")).alias("package_id"), "doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).filter(F.length("line") > 3)
+    hub = first.groupBy("package_id", F.sha2("line", 256).alias("h")).agg(F.min("doc_id").alias("b"))
+    edges = first.withColumn("h", F.sha2("line", 256)).join(hub, ["package_id", "h"]).filter("doc_id <> b").select("package_id", F.col("doc_id").alias("a"), "b")
+    return graph.components(edges)
+
+
+@query
+def related_families(spark, sf_dir):
+    engine.ensure_checkpoints(spark)
+    docs, pages = _unique(spark, sf_dir)
+    return families.families(families.related(docs, content.non_blank(pages)))
+
+
+# Key documents. The tables hold none, so marked pages are made from document ids.
+
+
+def _marked_pages(spark, sf_dir):
+    texts = [
+        "closing disclosure page 1 of 5 loan terms projected payments", "page 2 of 5 loan costs", "closing disclosure page 3 of 5 cash to close", "loan estimate page 1 of 3 save this loan estimate to compare with your closing disclosure",
+        "loan estimate page 2 of 3 closing cost details comparisons", "alta settlement statement seller american land title association financial loan charges to", "notice of denial", "we are unable to proceed with your loan", "ordinary page",
+    ]
+    docs = D.table(spark, sf_dir, "documents").select(F.lit("P").alias("package_id"), F.format_string("DOC-%06d", "doc_id").alias("document_id"), F.col("doc_id").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("page_index"))
+    chosen = F.get(F.array(*map(F.lit, texts)), ((F.col("d") * 7 + F.col("page_index") * F.col("page_index") * 5) % len(texts)).cast("int"))
+    return fingerprint.page_fingerprints(conform(docs.withColumn("raw_text", chosen), RAW_PAGES))
+
+
+@query
+def key_doc_ranges(spark, sf_dir):
+    found = keydocs.find_key_documents(_marked_pages(spark, sf_dir))
+    return found.select("document_id", "category", "subtype", "confidence_band", "first_page", "last_page", "signature_status")
+
+
+@query
+def key_doc_counts(spark, sf_dir):
+    found = keydocs.find_key_documents(_marked_pages(spark, sf_dir))
+    return found.groupBy("category", "confidence_band").agg(F.count("*").alias("n"), F.sum((F.col("confidence") * 100).cast("int")).alias("points"))
+
+
+@query
+def gaps_islands(spark, sf_dir):
+    lines = D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page_index", "line")).filter(F.col("line").contains("tion"))
+    return keydocs.islands(lines, 1, ["doc_id"])
+
+
+# Comparison of packages: languages' first documents against the same with one line moved.
+
+
+def _sides(spark, sf_dir):
+    pages = fingerprint.page_fingerprints(D.raw_pages(spark, sf_dir).filter("document_id < 'DOC-000041'")).withColumn("file_order", F.col("document_id"))
+    moved = pages.filter("page_index <> 1 or document_id like '%7'").withColumn("page_index", F.when(F.col("document_id").endswith("3"), -F.col("page_index")).otherwise(F.col("page_index")))
+    return pages, moved
+
+
+@query
+def compare_packages(spark, sf_dir):
+    return alignment.compare_packages(*_sides(spark, sf_dir))
+
+
+@query
+def compare_categories(spark, sf_dir):
+    return alignment.categories(alignment.compare_packages(*_sides(spark, sf_dir)))
+
+
+# Runs.
+
+
+def _run(spark, sf_dir, aware=True):
+    return engine.build(D.occurrences(spark, sf_dir), D.raw_pages(spark, sf_dir), Config(max_pages_per_part=100, content_aware=aware))
+
+
+@query
+def integrity_checks(spark, sf_dir):
+    return _run(spark, sf_dir).checks
+
+
+@query
+def duplicate_log(spark, sf_dir):
+    return reports.duplicate_log(_run(spark, sf_dir, False).occurrences)
+
+
+@query
+def processing_report(spark, sf_dir):
+    run = _run(spark, sf_dir, False)
+    return reports.processing_report(run.occurrences, run.pages)
+
+
+@query
+def final_parts(spark, sf_dir):
+    return _run(spark, sf_dir, False).final_parts.select("package_id", F.col("part").cast("int").alias("part"), "page_count", F.col("n_documents").cast("long").alias("n_documents"), F.array_join("document_ids", "|").alias("documents"))
+
+
+@query
+def version_report(spark, sf_dir):
+    run = _run(spark, sf_dir)
+    return reports.version_report(run.occurrences, run.versions)
+
+
+@query
+def overlap_report(spark, sf_dir):
+    return reports.overlap_report(_run(spark, sf_dir).overlaps)
+
+
+@query
+def batch_summary(spark, sf_dir):
+    return _run(spark, sf_dir).success()
+
+
+@query
+def manifest_json(spark, sf_dir):
+    return reports.manifest(_run(spark, sf_dir, False).occurrences)
+
+
+# Sources and signals.
+
+
+@query
+def html_blocks(spark, sf_dir):
+    return D.table(spark, sf_dir, "pages").select("page_id", F.posexplode(decoders.blocks_of_html("html")).alias("block_no", "block"))
+
+
+@query
+def exact_normalized(spark, sf_dir):
+    return D.table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.exact_normal("text"), 256).alias("sha"))
+
+
+def _grid(spark, sf_dir):
+    vectors = D.table(spark, sf_dir, "embeddings")
+    bits = F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.when(F.get("embedding", i) < F.get("embedding", i + 1), F.lit(1)).otherwise(0).cast("long"))
+    return vectors.select("vec_id", "label", "embedding", F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b)).alias("h"))
+
+
+@query
+def difference_hashes(spark, sf_dir):
+    return _grid(spark, sf_dir).select("vec_id", F.col("h").alias("dhash"))
+
+
+@query
+def hamming_distances(spark, sf_dir):
+    g = _grid(spark, sf_dir)
+    after = F.lead("h").over(W.partitionBy("label").orderBy("vec_id"))
+    return g.withColumn("n", after).filter("n is not null").select("vec_id", S.hamming(F.col("h"), F.col("n")).cast("long").alias("distance"))
+
+
+@query
+def color_distances(spark, sf_dir):
+    c = lambda k: F.abs(F.round(F.get("embedding", F.lit(k)).cast("double") * 255))
+    g = D.table(spark, sf_dir, "embeddings").select("vec_id", F.struct(c(0).alias("r"), c(1).alias("g"), c(2).alias("b")).alias("x"), F.struct(c(3).alias("r"), c(4).alias("g"), c(5).alias("b")).alias("y"))
+    return g.select("vec_id", F.round(S.color_similarity(F.col("x"), F.col("y")), 9).alias("similarity"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"exact_dup_groups": exact_dup_groups}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"exact_dup_groups": EXACT_DUP_GROUPS_SQL}
+    return dict(catalogue_sql.SQL)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Fixed values.
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
@@ -33,13 +34,13 @@ def normal(text: Column) -> Column:
     return fold(collapse(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def exact_collapse(text: pd.Series) -> pd.Series:
     """NFKC, then as collapse()."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def exact_normal(text: pd.Series) -> pd.Series:
     """NFKC and full case folding."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
@@ -101,39 +102,51 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(blocks, lambda b: F.array_join(lines(b), " ")), lambda b: b != "")
 
 
+def bag(items: Column) -> Column:
+    """How many elements an array has, and the distinct ones as numbers."""
+    return F.struct(F.size(items).alias("n"), F.array_distinct(F.transform(items, lambda v: F.xxhash64(v))).alias("d"))
+
+
 def bag_bound(a: Column, b: Column) -> Column:
-    """An upper bound of the sequence ratio of two arrays: twice their common elements, repeats counted, over both sizes."""
-    numbered = lambda x: F.transform(x, lambda v, i: F.concat_ws("\x00", v, F.size(F.filter(F.slice(x, 1, i + 1), lambda w: w == v)).cast("string")))
-    both = F.size(F.array_intersect(numbered(a), numbered(b)))
-    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(2.0 * both / F.greatest(F.size(a) + F.size(b), F.lit(1)))
+    """An upper bound of the sequence ratio of what two bags stand for: an element that the other lacks matches nothing."""
+    both = F.size(F.array_intersect(a["d"], b["d"]))
+    common = F.least(a["n"] - F.size(a["d"]) + both, b["n"] - F.size(b["d"]) + both)
+    return F.when(a["n"] + b["n"] == 0, 1.0).otherwise(2.0 * common / F.greatest(a["n"] + b["n"], F.lit(1)))
+
+
+def char_counts(text: Column, buckets: int = 32) -> Column:
+    """How many characters fall into each of a few buckets."""
+    chars = F.array_distinct(F.split(text, ""))
+    counted = F.transform(chars, lambda c: F.struct(F.pmod(F.xxhash64(c), F.lit(buckets)).alias("b"), F.when(c == "", 0).otherwise(F.length(text) - F.length(F.replace(text, c, F.lit("")))).alias("n")))
+    return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.aggregate(counted, F.lit(0), lambda n, x: n + F.when(x["b"] == b, x["n"]).otherwise(0)))
 
 
-def counted_bound(a: Column, b: Column) -> Column:
-    """As bag_bound(), of two maps from element to count."""
-    both = F.aggregate(F.map_entries(a), F.lit(0), lambda n, e: n + F.least(e["value"], F.coalesce(F.try_element_at(b, e["key"]), F.lit(0))))
-    total = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda n, v: n + v)
-    return F.when(total(a) + total(b) == 0, 1.0).otherwise(2.0 * both / F.greatest(total(a) + total(b), F.lit(1)))
+def counts_bound(a: Column, b: Column) -> Column:
+    """As bag_bound(), of two results of char_counts()."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda n, v: n + v)
+    common = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, v: n + v)
+    return F.when(total(a) + total(b) == 0, 1.0).otherwise(2.0 * common / F.greatest(total(a) + total(b), F.lit(1)))
 
 
 def _ratio(a, b) -> float:
     return 1.0 if not a and not b else difflib.SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def word_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The matching-blocks ratio of the words of two texts, frequent words of a long second text being no anchors. Not symmetric."""
     for a, b in pairs:
         yield pd.Series([_ratio((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def char_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The matching-blocks ratio of the characters of two texts."""
     for a, b in pairs:
         yield pd.Series([_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pretty_xml(text: pd.Series) -> pd.Series:
     """XML indented by two blanks; anything else as it is."""
     from xml.dom import minidom

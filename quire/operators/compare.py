@@ -12,7 +12,7 @@ from quire.functions import text as T
 VETOES = ["signature_field", "signed", "image_count", "form_values", "annotations", "dates", "dollar_amounts", "name_hints"]
 RANK = {"no_match": 0, "different_version": 1, "uncertain": 2, "same": 3}
 
-PAGE = ["text_hash", "normalized_text", "images", "form_fields", "annotations", "has_signature_field", "has_signed_signature", "dates", "dollars", "names"]
+PAGE = ["text_hash", "normalized_text", "images", "form_fields", "annotations", "has_signature_field", "has_signed_signature", "dates", "dollars", "names", "bag"]
 
 
 def _form(fields: Column) -> Column:
@@ -60,8 +60,7 @@ def compare_pages(pairs: DataFrame, floor: float = 0.0) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     df = pairs.withColumn("exact", page_is_equal(a, b)).withColumn("veto", F.when(~F.col("exact"), page_veto(a, b)))
-    words = lambda x: F.filter(F.split(x["normalized_text"], " "), lambda w: w != "")
-    df = df.withColumn("bound", F.when(F.col("exact"), 1.0).when(F.col("veto").isNotNull(), 0.0).when(a["text_hash"] == b["text_hash"], 1.0).otherwise(T.bag_bound(words(a), words(b))))
+    df = df.withColumn("bound", F.when(F.col("exact"), 1.0).when(F.col("veto").isNotNull(), 0.0).when(a["text_hash"] == b["text_hash"], 1.0).otherwise(T.bag_bound(a["bag"], b["bag"])))
     hard = ~F.col("exact") & F.col("veto").isNull() & (F.col("bound") >= floor) & (a["text_hash"] != b["text_hash"])
     measured = df.filter(hard).withColumn("words", T.word_ratio(F.col("a.normalized_text"), F.col("b.normalized_text")))
     settled = df.filter(~hard).withColumn("words", F.col("bound"))

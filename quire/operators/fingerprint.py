@@ -21,7 +21,7 @@ def page_fingerprints(pages: DataFrame, exact: bool = False) -> DataFrame:
     marked = F.exists("annotations", lambda a: (F.length(F.coalesce(a["contents"], F.lit(""))) > 0) | F.coalesce(a["has_appearance_stream"], F.lit(False)))
     empty = (F.length("normalized_text") <= BLANK_CHARS) & (F.size("form_fields") == 0) & ~marked & F.forall("images", lambda i: F.coalesce(i["is_blank"], F.lit(False)))
     return df.withColumns({
-        "text_hash": F.sha2("normalized_text", 256), "dates": T.date_tokens(F.col("collapsed")), "dollars": T.dollar_tokens(F.col("collapsed")), "names": T.name_tokens(F.col("collapsed")),
+        "text_hash": F.sha2("normalized_text", 256), "bag": T.bag(F.filter(F.split("normalized_text", " "), lambda w: w != "")), "dates": T.date_tokens(F.col("collapsed")), "dollars": T.dollar_tokens(F.col("collapsed")), "names": T.name_tokens(F.col("collapsed")),
         "has_signature_field": F.size(signature) > 0, "has_signed_signature": F.exists(signature, lambda f: F.length(F.coalesce(f["value"], F.lit(""))) > 0),
         "has_form_fields": F.size("form_fields") > 0, "is_blank": empty, "blank_confidence": F.when(empty, F.when(F.size("images") > 0, 0.9).otherwise(1.0)),
     })
