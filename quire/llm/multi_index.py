@@ -164,7 +164,10 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, least: int = LEAST, s
     X = np.array([r.v for r in sample], float)
     a, b = halves(X, np.sqrt(np.maximum(0, longest**2 - (X**2).sum(1))))
     C1, C2 = fit(a, centroids), fit(b, centroids, seed=4)
-    cells = scratch.save(rows.mapInArrow(_assigner(C1, C2, longest), "id long, cell int, v binary"), "cells")
+    assigned = rows.dropDuplicates(["id", "v"]).mapInArrow(_assigner(C1, C2, longest), "id long, cell int, v binary")
+    cells = scratch.save(assigned, "cells")
+    # An id with several vectors may take several places of a block's best.
+    places = k * int(cells.groupBy("id").count().agg(F.max("count")).first()[0])
 
     counts = np.zeros(len(C1) * len(C2), np.int64)
     for r in cells.groupBy("cell").count().collect():  # at most centroids squared rows
@@ -188,7 +191,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, least: int = LEAST, s
     encoded = asked.mapInArrow(_assigner(C1, C2, longest), "id long, cell int, v binary").select("id", "v")
     routed = encoded.mapInArrow(_router(C1, C2, counts, blocks, enough), "block int, q long, qv binary, cells binary")
     routed = routed.withColumn("batch", F.pmod(F.xxhash64("q"), F.lit(batches)).cast("int"))
-    ranked = entries.groupBy("block", "batch").cogroup(routed.groupBy("block", "batch")).applyInPandas(_ranker(k, len(counts)), "q long, id long, score double")
+    ranked = entries.groupBy("block", "batch").cogroup(routed.groupBy("block", "batch")).applyInPandas(_ranker(places, len(counts)), "q long, id long, score double")
     best = ranked.groupBy("q", "id").agg(F.max("score").alias("score"))
     order = W.partitionBy("q").orderBy(F.desc("score"), "id")
     top = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

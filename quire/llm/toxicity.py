@@ -26,7 +26,8 @@ WINDOW = 32
 #: and on at most this many of their words.
 SAMPLE_PER_CLASS = 1200
 SAMPLE_WORDS = 800_000
-EPOCHS = 8
+#: Passes over the sample, and the fewest steps: a small sample is passed more often.
+EPOCHS, STEPS = 8, 300
 BATCH_ROWS = 512
 CACHED_WORDS = 300_000
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¿¡…“”‘’«»"
@@ -105,7 +106,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
         s = (E @ (Wt[:, 1] - Wt[:, 0]))[bucket]
         return np.add.reduceat(s, ptr[:-1]) / np.diff(ptr)
 
-    for epoch in range(epochs):
+    for epoch in range(max(epochs, -(-STEPS // -(-len(keep) // 64)))):
         scores = word_scores() if epoch else None
         order = keep[rng.permutation(len(keep))]
         for k in range(0, len(order), 64):
