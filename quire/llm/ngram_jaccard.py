@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
@@ -30,8 +31,13 @@ from quire.llm.wordhash import mix, shingle_hashes, word_hashes
 
 SKETCH_BITS = 20
 SKETCH_BLOCK = 4096
-HUB_ORDERS = 6
-FILTER_ORDERS = 3
+HUB_ORDERS, HUBS = 8, 2
+#: 64-bit words of the short parities that travel with postings, and how many earlier tokens a posting remembers.
+PARITY_WORDS, EARLIER = 8, 8
+#: The further global orders; the postings are under order 0.
+ORDERS = (1, 2)
+#: Cells of the bit maps that tell early which rows a later join can drop; a full map only lets more through.
+MAP_BITS = 24
 #: Rows of an Arrow batch: texts may be long.
 BATCH_ROWS = 1024
 
@@ -48,11 +54,31 @@ def _prefix(h: np.ndarray, order: int, weight: np.ndarray, num: int, den: int) -
     """The prefix of a set under one global order: by class of frequency, then by a hash of the order's own."""
     p = _prefix_length(len(h), num, den)
     rank = _salted(h, order) >> np.uint64(6) | weight[h >> np.uint64(64 - SKETCH_BITS)] << np.uint64(58)
-    return h[np.argpartition(rank, p - 1)[:p]] if p < len(h) else h
+    if p < len(h):
+        kept = np.argpartition(rank, p - 1)[:p]
+        h, rank = h[kept], rank[kept]
+    return h[np.argsort(rank)]
+
+
+def _short_parity(h: np.ndarray) -> list[int]:
+    """For each of 64 PARITY_WORDS cells, whether an odd number of shingles fall there, as signed words."""
+    cells = np.bincount(_salted(h, 400) & np.uint64(64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _in_reach(na: str, nb: str, a: str, b: str, num: int, den: int) -> F.Column:
+    """Whether sizes and short parities let two sets reach the threshold: no pair that does is lost."""
+    differing = sum((F.bit_count(F.col(f"{a}{j}").bitwiseXOR(F.col(f"{b}{j}"))) for j in range(1, PARITY_WORDS)), F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))))
+    most = F.least(F.col(na), F.col(nb), F.floor((F.col(na) + F.col(nb) - differing) / 2))
+    return den * most >= num * (F.col(na) + F.col(nb) - most)
 
 
 def _profile(k: int):
-    """A row per document (kind 0) and the task's share of the count sketch (kind 1)."""
+    """A row per document (kind 0) and the task's share of the count sketch (kind 1).
+
+    A document's row has a fingerprint of its set, its first shingle under each hub order, and its short parity.
+    """
+    names = ["kind", "id", "n", "f1", "f2", "first", "parity", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -66,15 +92,15 @@ def _profile(k: int):
             signed = lambda xs: pa.array(np.array(xs, np.uint64).astype(np.int64))
             size = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(size, np.int32)), batch.column(0), pa.array([len(h) for h in sets], pa.int64()), signed(one), signed(two), pa.array(first, pa.list_(pa.int64())), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
-                names=["kind", "id", "n", "f1", "f2", "first", "block", "counts"],
+                [pa.array(np.zeros(size, np.int32)), batch.column(0), pa.array([len(h) for h in sets], pa.int64()), signed(one), signed(two), pa.array(first, pa.list_(pa.int64())), pa.array([_short_parity(h) for h in sets], pa.list_(pa.int64())), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
+                names=names,
             )
         if sketch.any():
             blocks = sketch.reshape(-1, SKETCH_BLOCK)
             b = len(blocks)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(b, np.int32)), pa.nulls(b, pa.int64()), pa.nulls(b, pa.int64()), pa.nulls(b, pa.int64()), pa.nulls(b, pa.int64()), pa.nulls(b, pa.list_(pa.int64())), pa.array(np.arange(b, dtype=np.int32)), pa.array([x.astype(np.int32).tobytes() for x in blocks], pa.binary())],
-                names=["kind", "id", "n", "f1", "f2", "first", "block", "counts"],
+                [pa.array(np.ones(b, np.int32)), pa.nulls(b, pa.int64()), pa.nulls(b, pa.int64()), pa.nulls(b, pa.int64()), pa.nulls(b, pa.int64()), pa.nulls(b, pa.list_(pa.int64())), pa.nulls(b, pa.list_(pa.int64())), pa.array(np.arange(b, dtype=np.int32)), pa.array([x.astype(np.int32).tobytes() for x in blocks], pa.binary())],
+                names=names,
             )
 
     return run
@@ -90,6 +116,62 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
 
 
+def _cells(values: np.ndarray) -> np.ndarray:
+    return mix(values.astype(np.int64).view(np.uint64) + np.uint64(1)) >> np.uint64(64 - MAP_BITS)
+
+
+def _may_hold(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = _cells(values)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << MAP_BITS, bool)
+    for batch in batches:
+        bits[_cells(np.asarray(batch.column(0)))] = True
+    blocks = np.packbits(bits, bitorder="little").reshape(-1, SKETCH_BLOCK)
+    used = np.flatnonzero(blocks.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[k] = total.get(k, 0) | np.frombuffer(x, np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "bits"])
+
+
+def _bit_map(values: DataFrame) -> np.ndarray:
+    """A bit for each cell that one of the longs falls into: 2 ** MAP_BITS bits, whatever the input."""
+    schema = "block int, bits binary"
+    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    for r in values.mapInArrow(_marked, schema).repartition(16, "block").mapInArrow(_united, schema).toLocalIterator():
+        out[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _hits(bits):
+    """A row for each prefix token that may join two components, with the first few such tokens before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            values, at = np.asarray(lists.values), np.asarray(lists.offsets)
+            owner = np.repeat(np.arange(len(lists)), np.diff(at))
+            values = values[at[0] : at[-1]]
+            hit = _may_hold(bits.value, values)
+            owner, values = owner[hit], values[hit]
+            first = np.searchsorted(owner, np.arange(len(lists) + 1))
+            n = np.minimum(np.arange(len(owner)) - first[owner], EARLIER)
+            begin = np.concatenate([[0], np.cumsum(n)])
+            source = np.repeat(first[owner] - begin[:-1], n) + np.arange(int(begin[-1]))
+            earlier = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values[source]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(j).take(pa.array(owner)) for j in range(3)], pa.array(values), earlier], names=["id", "n", "comp", "token", "earlier"])
+
+    return run
+
+
 def _weights(sketch: DataFrame) -> np.ndarray:
     """A class of frequency for each cell: how often the mean is doubled. 2 ** SKETCH_BITS bytes, whatever the input."""
     schema = "block int, counts binary"
@@ -101,25 +183,64 @@ def _weights(sketch: DataFrame) -> np.ndarray:
     return np.minimum(63, np.floor(2 * high)).astype(np.uint64)
 
 
-def _prefixes(k: int, num: int, den: int, shared, orders: tuple[int, ...], whole: bool):
+def _chosen(batch: pa.RecordBatch, ids: np.ndarray | None) -> pa.RecordBatch:
+    """The rows whose id may be among those in a bit map."""
+    return batch if ids is None else batch.filter(pa.array(_may_hold(ids, np.asarray(batch.column(0)))))
+
+
+def _postings(k: int, num: int, den: int, weight):
+    """(id, n, p0): the prefix of each set under the first order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = shared.value
         for batch in batches:
+            sets = shingle_hashes(*word_hashes(batch.column(1)), k)
+            got = [_prefix(h, 0, weight.value, num, den) if len(h) else h for h in sets]
+            at = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
+            values = (np.concatenate(got) if got else np.zeros(0, np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["id", "n", "p0"])
+
+    return run
+
+
+def _parity(h: np.ndarray) -> bytes:
+    """For each of about 4 n cells, whether an odd number of the set's shingles fall there."""
+    size = max(64, 1 << (4 * len(h) - 1).bit_length())
+    return np.packbits(np.bincount(_salted(h, 300) & np.uint64(size - 1), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """A lower bound of how many shingles two sets don't share: the cells in which their parities differ."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):  # the lower half of a cell number's range, and the upper, fall together
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _filters(k: int, num: int, den: int, weight, ids):
+    """(id, n, f1, f2, ..., parity): prefixes under the further orders, cut to 32 bits, and the parities. Cut hashes can only let more pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = _chosen(batch, ids.value)
             sets = shingle_hashes(*word_hashes(batch.column(1)), k)
             arrays, names = [batch.column(0), pa.array([len(h) for h in sets], pa.int64())], ["id", "n"]
-            for j in orders:
-                got = [_prefix(h, j, weight, num, den) if len(h) else h for h in sets]
-                if whole:
-                    arrays.append(pa.array([np.sort(x).tobytes() for x in got], pa.binary()))
-                else:
-                    lengths = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
-                    values = (np.concatenate(got) if got else np.zeros(0, np.uint64)).astype(np.int64)
-                    arrays.append(pa.ListArray.from_arrays(pa.array(lengths), pa.array(values)))
-                names.append(f"p{j}")
-            if whole:
-                arrays.append(pa.array([h.tobytes() for h in sets], pa.binary()))
-                names.append("tokens")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            for j in ORDERS:
+                arrays.append(pa.array([np.unique(_prefix(h, j, weight.value, num, den).astype(np.uint32)).tobytes() if len(h) else b"" for h in sets], pa.binary()))
+                names.append(f"f{j}")
+            arrays.append(pa.array([_parity(h) if len(h) else b"" for h in sets], pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "parity"])
+
+    return run
+
+
+def _sets(k: int, ids):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = _chosen(batch, ids.value)
+            sets = shingle_hashes(*word_hashes(batch.column(1)), k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in sets], pa.binary())], names=["id", "tokens"])
 
     return run
 
@@ -128,18 +249,30 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     """How many values two sorted distinct arrays share."""
     if len(a) > len(b):
         a, b = b, a
+    if not len(a):
+        return 0
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
-    return int(np.count_nonzero(b[at] == a)) if len(b) else 0
+    return int(np.count_nonzero(b[at] == a))
 
 
-def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that share a prefix token under every further order."""
-    for batch in batches:
-        cols = [batch.column(j).to_pylist() for j in range(2, batch.num_columns)]
-        half = len(cols) // 2
-        ok = [all(_common(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(r[:half], r[half:], strict=True)) for r in zip(*cols, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _passes(num: int, den: int):
+    """Pairs that share a prefix token under every further order and whose parities leave the threshold in reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = batch.to_pydict()
+            apart = np.array([_apart(x, y) for x, y in zip(cols["xparity"], cols["yparity"], strict=True)], np.int64)
+            total = np.array(cols["xn"], np.int64) + np.array(cols["yn"], np.int64)
+            most = (total - apart) // 2
+            ok = den * most >= num * (total - most)
+            for j in ORDERS:
+                for i in np.flatnonzero(ok).tolist():
+                    ok[i] = _common(np.frombuffer(cols[f"x{j}"][i], np.uint32), np.frombuffer(cols[f"y{j}"][i], np.uint32)) > 0
+            out = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "ca", "cb")]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(apart)], names=["a", "b", "ca", "cb", "apart"]).filter(pa.array(ok))
+
+    return run
 
 
 def _verified(num: int, den: int):
@@ -155,15 +288,31 @@ def _verified(num: int, den: int):
     return run
 
 
-def _of_ids(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    return texts.join(ids, "id", "left_semi")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v")))
+
+
+class _Join:
+    """What the steps of one join share."""
+
+    def __init__(self, texts: DataFrame, k: int, num: int, den: int, weight, scratch: Scratch):
+        self.texts, self.k, self.num, self.den, self.weight, self.scratch = texts, k, num, den, weight, scratch
+        self.spark = texts.sparkSession
 
+    def filtered(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, ca, cb, apart): the pairs that pass all filters."""
+        ids = self.spark.sparkContext.broadcast(_bit_map(_ends(pairs)))
+        kinds = ", ".join(f"f{j} binary" for j in ORDERS)
+        records = self.texts.mapInArrow(_filters(self.k, self.num, self.den, self.weight, ids), f"id long, n long, {kinds}, parity binary")
+        side = lambda end, s: records.select(F.col("id").alias(end), F.col("n").alias(f"{s}n"), *[F.col(f"f{j}").alias(f"{s}{j}") for j in ORDERS], F.col("parity").alias(f"{s}parity"))
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_passes(self.num, self.den), "a long, b long, ca long, cb long, apart long")
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    x = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(num, den), "a long, b long")
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(a, b): the pairs that reach the threshold, on their whole sets."""
+        ids = self.spark.sparkContext.broadcast(_bit_map(_ends(pairs)))
+        sets = self.texts.mapInArrow(_sets(self.k, ids), "id long, tokens binary")
+        x, y = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+        return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(self.num, self.den), "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +327,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    schema = "kind int, id long, n long, f1 long, f2 long, first array<long>, block int, counts binary"
+    schema = "kind int, id long, n long, f1 long, f2 long, first array<long>, parity array<long>, block int, counts binary"
     profile = scratch.save(texts.mapInArrow(_profile(k), schema), "profile")
     rows = profile.filter("kind = 0")
     weight = spark.sparkContext.broadcast(_weights(profile.filter("kind = 1").select("block", "counts")))
@@ -187,45 +336,61 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
 
     # 1. Equal sets: the smallest id stands for all.
     rep = full.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    classes = scratch.save(full.join(rep, ["n", "f1", "f2"]).select("id", "rep", "n", "first"), "classes")
+    classes = scratch.save(full.join(rep, ["n", "f1", "f2"]).select("id", "rep", "n", "first", *[F.get("parity", F.lit(j)).alias(f"w{j}") for j in range(PARITY_WORDS)]), "classes")
     copies = classes.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = classes.filter("id = rep")
+    words = [f"w{j}" for j in range(PARITY_WORDS)]
 
     # 2. Hubs: a few buckets a document, one pair a member.
-    bucket = reps.select("id", "n", F.posexplode("first").alias("j", "token"))
-    hubs = bucket.groupBy("j", "token").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id")).alias("hub"), F.count("*").alias("c")).filter("c > 1")
-    near = bucket.join(hubs, ["j", "token"]).filter(F.col("id") != F.col("hub.id")).filter(den * F.least("n", "hub.n") >= num * F.greatest("n", "hub.n"))
-    pairs = scratch.save(near.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "hubs")
-    sets = scratch.save(_of_ids(texts, pairs).mapInArrow(_prefixes(k, num, den, weight, (), True), "id long, n long, tokens binary"), "hub_sets")
-    links = scratch.save(_verify(pairs, sets, num, den).unionByName(copies), "links1")
-    scratch.drop("hubs", "hub_sets")
+    join = _Join(texts, k, num, den, weight, scratch)
+    bucket = reps.select("id", "n", *words, F.posexplode("first").alias("j", "token"))
+    held = bucket.groupBy("j", "token").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = scratch.save(bucket.join(held, ["j", "token"]), "shared")
+    # A document in many well-filled buckets has little of its own: a good hub.
+    central = shared.groupBy("id").agg(F.sum(F.log("c")).alias("central"))
+    order = W.partitionBy("j", "token").orderBy(F.desc("central"), F.xxhash64("id"), "id")
+    hubs = shared.select("j", "token", "id", "n", *words).join(central, "id").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= HUBS)
+    hubs = hubs.select("j", "token", F.col("id").alias("hub"), F.col("n").alias("nh"), *[F.col(w).alias(f"h{w}") for w in words])
+    near = shared.join(hubs, ["j", "token"]).filter((F.col("id") != F.col("hub")) & _in_reach("n", "nh", "w", "hw", num, den))
+    pairs = near.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    passed = scratch.save(join.filtered(scratch.save(pairs, "hubs")), "hub_passed")
+    links = scratch.save(join.verified(passed).unionByName(copies), "links1")
     component = connected_components(links, scratch, "cc1_")
 
     # 3. All that could still join two components.
-    one = texts.mapInArrow(_prefixes(k, num, den, weight, (0,), False), "id long, n long, p0 array<long>").filter("n > 0")
     labels = reps.select("id").distinct().join(component, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-    postings = scratch.save(one.join(labels, "id").select("id", "n", "comp", F.explode("p0").alias("token")), "postings")
-    mixed = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    live = scratch.save(postings.join(mixed, "token", "left_semi"), "live")
-    scratch.drop("postings")
+    parities = reps.select("id", *words)
+    one = texts.mapInArrow(_postings(k, num, den, weight), "id long, n long, p0 array<long>").filter("n > 0")
+    prefixes = scratch.save(one.join(labels, "id").select("id", "n", "comp", "p0"), "prefixes")
+    tokens = prefixes.select("comp", F.explode("p0").alias("token"))
+    mixed = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    mixed = scratch.save(mixed, "mixed")
+    bits = spark.sparkContext.broadcast(_bit_map(mixed))
+    postings = prefixes.select("id", "n", "comp", "p0").mapInArrow(_hits(bits), "id long, n long, comp long, token long, earlier array<long>")
+    live = scratch.save(postings.join(mixed, "token", "left_semi").join(parities, "id"), "live")
     largest = live.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
     live = live.join(largest, "token")
-    left = live.filter("comp <> top").select("token", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("comp").alias("ci"))
-    right = live.select("token", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("comp").alias("cj"), (F.col("comp") == F.col("top")).alias("dominant"))
-    fits = (F.col("ci") != F.col("cj")) & (F.col("dominant") | (F.col("i") < F.col("j"))) & (den * F.least("ni", "nj") >= num * F.greatest("ni", "nj"))
-    found = left.join(right, "token").filter(fits).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    left = live.filter("comp <> top").select("token", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("comp").alias("ci"), F.col("earlier").alias("ei"), *[F.col(w).alias(f"l{w}") for w in words])
+    right = live.select("token", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("comp").alias("cj"), F.col("earlier").alias("ej"), (F.col("comp") == F.col("top")).alias("dominant"), *[F.col(w).alias(f"r{w}") for w in words])
+    # A pair that shares several tokens is made at the first of them, as far as the postings remember.
+    fits = (F.col("ci") != F.col("cj")) & (F.col("dominant") | (F.col("i") < F.col("j"))) & _in_reach("ni", "nj", "lw", "rw", num, den) & ~F.arrays_overlap("ei", "ej")
+    found = left.join(right, (left["token"] == right["token"]) & fits)
+    swap = F.col("i") > F.col("j")
+    end = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    found = found.select(end("i", "j").alias("a"), end("j", "i").alias("b"), end("ci", "cj").alias("ca"), end("cj", "ci").alias("cb"))
     pairs = scratch.save(found.distinct(), "pairs")
-    scratch.drop("live")
-    orders = tuple(range(1, FILTER_ORDERS))
-    kept = ", ".join(f"p{j} binary" for j in orders)
-    sets = scratch.save(_of_ids(texts, pairs).mapInArrow(_prefixes(k, num, den, weight, orders, True), f"id long, n long, {kept}, tokens binary"), "sets")
-    x = sets.select(F.col("id").alias("a"), *[F.col(f"p{j}").alias(f"x{j}") for j in orders])
-    y = sets.select(F.col("id").alias("b"), *[F.col(f"p{j}").alias(f"y{j}") for j in orders])
-    tested = pairs.join(x, "a").join(y, "b").select("a", "b", *[f"x{j}" for j in orders], *[f"y{j}" for j in orders])
-    last = scratch.save(tested.mapInArrow(_passes, "a long, b long").distinct(), "passed")
-    links2 = _verify(last, sets, num, den)
-    contracted = component.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    final = connected_components(scratch.save(links2.unionByName(contracted), "links2"), scratch, "cc2_")
-    scratch.drop("sets", "passed", "pairs", "links1", "links2")
+    scratch.drop("prefixes", "live", "mixed", "shared")
+    passed = scratch.save(join.filtered(pairs), "passed")
+    # Of the pairs that would join the same two components the closest goes first; what it joins, the others need not.
+    both = [F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")]
+    best = passed.groupBy(*both).agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
+    links = join.verified(scratch.save(best, "best")).unionByName(component.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    component = connected_components(scratch.save(links, "links2"), scratch, "cc2_")
+    now = component.select(F.col("id").alias("v"), "component")
+    rest = passed.join(now.withColumnsRenamed({"v": "a", "component": "xa"}), "a", "left").join(now.withColumnsRenamed({"v": "b", "component": "xb"}), "b", "left")
+    rest = rest.filter(F.coalesce("xa", "a") != F.coalesce("xb", "b")).select("a", "b").join(best.withColumn("done", F.lit(True)), ["a", "b"], "left_anti")
+    links = join.verified(scratch.save(rest, "rest")).unionByName(component.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    final = connected_components(scratch.save(links, "links3"), scratch, "cc3_")
+    scratch.drop("passed", "pairs", "links1", "links2", "links3", "best", "rest", "hubs", "hub_passed")
     out = rows.select("id", F.col("n").alias("n_shingles")).join(final, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
