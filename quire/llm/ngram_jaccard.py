@@ -39,7 +39,7 @@ ORDERS = (1, 2)
 #: Cells of the bit maps that tell early which rows a later join can drop; a full map only lets more through.
 MAP_BITS = 24
 #: Rows of an Arrow batch: texts may be long.
-BATCH_ROWS = 1024
+BATCH_ROWS = 256
 
 
 def _salted(h: np.ndarray, order: int) -> np.ndarray:
@@ -53,7 +53,7 @@ def _prefix_length(n: int, num: int, den: int) -> int:
 def _prefix(h: np.ndarray, order: int, weight: np.ndarray, num: int, den: int) -> np.ndarray:
     """The prefix of a set under one global order: by class of frequency, then by a hash of the order's own."""
     p = _prefix_length(len(h), num, den)
-    rank = _salted(h, order) >> np.uint64(6) | weight[h >> np.uint64(64 - SKETCH_BITS)] << np.uint64(58)
+    rank = _salted(h, order) >> np.uint64(6) | weight[h >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(58)
     if p < len(h):
         kept = np.argpartition(rank, p - 1)[:p]
         h, rank = h[kept], rank[kept]
@@ -180,7 +180,7 @@ def _weights(sketch: DataFrame) -> np.ndarray:
     for r in summed.toLocalIterator():  # 2 ** SKETCH_BITS counts in all
         out[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] += np.frombuffer(r.counts, np.int64)
     high = np.log2(np.maximum(1, out / max(1.0, out.mean())))
-    return np.minimum(63, np.floor(2 * high)).astype(np.uint64)
+    return np.minimum(63, np.floor(2 * high)).astype(np.uint8)
 
 
 def _chosen(batch: pa.RecordBatch, ids: np.ndarray | None) -> pa.RecordBatch:

@@ -29,7 +29,9 @@ def _powers(base: int, n: int) -> np.ndarray:
         size = max(1 << 16, 1 << (n - 1).bit_length())
         got = np.full(size, _U(base & (2**64 - 1)))
         got[0] = 1
-        got = _POWERS[base] = np.multiply.accumulate(got)
+        np.multiply.accumulate(got, out=got)
+        if size <= 2 * CHUNK:
+            _POWERS[base] = got
     return got[:n]
 
 
@@ -48,9 +50,24 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
+#: Texts are worked on so many bytes at a time (a longer one alone), which bounds the temporary arrays.
+CHUNK = 1 << 20
+
+
 def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words [^\\x20\\x09-\\x0D]+ of all rows, A-Z lower-cased, and where each row's words begin (len + 1)."""
     raw, offsets = buffers(texts)
+    found, starts, a, rows, base = [], [np.zeros(1, np.int64)], 0, len(offsets) - 1, 0
+    while a < rows:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, side="right")) - 1)
+        h, at = _hashed(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower)
+        found.append(h)
+        starts.append(at[1:] + base)
+        a, base = b, base + len(h)
+    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.concatenate(starts)
+
+
+def _hashed(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
