@@ -188,7 +188,7 @@ def _scorer(shared, bias: float):
             out = []
             for t in batch.column(2).to_pylist():
                 v = np.array(list(map(words.__getitem__, t.lower().split())), np.float64) if t else np.zeros(0)
-                out.append(float(1 / (1 + np.exp(-np.clip(best_window(v)[1] + bias, -40, 40)))))
+                out.append(float(1 / (1 + np.exp(-np.clip(best_window(v)[1] + bias, -40, 40)))) if len(v) else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], names=["id", "held_out", "score", "predicted"])
 
     return run
@@ -198,8 +198,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(id_col, held_out, score, predicted) of every row of docs; score is the probability of class 1.
 
     Only labels of rows whose crc32 of the id as text doesn't leave 0 when divided by 5 are learned from; labels other than 0
-    and 1 are ignored, and of several labels of a document the largest counts. A null or blank text has the score of the bias
-    alone. Without labels of both classes all scores are near 0. A row with a null id isn't held out and isn't learned from.
+    and 1 are ignored, and of several labels of a document the largest counts. A null or blank text has no evidence
+    and the score 0. Without labels of both classes all scores are near 0. A row with a null id isn't held out and isn't learned from.
     Other columns are ignored. Training starts from a fixed seed and a sample in a fixed order, so reruns agree.
     """
     spark = docs.sparkSession
