@@ -29,7 +29,7 @@ CENTROIDS = 32
 SAMPLE = 20_000
 #: A query visits cells until they hold so many vectors, and so large a share of all.
 LEAST, SHARE = 4096, 0.5
-BLOCK_ROWS, QUERY_ROWS = 2048, 2048
+BLOCK_ROWS, QUERY_ROWS = 8192, 2048
 BATCH_ROWS = 2048
 
 
