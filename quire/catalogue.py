@@ -307,11 +307,15 @@ def gaps_islands(spark, sf_dir):
     return keydocs.islands(lines, 1, ["doc_id"])
 
 
-# Comparison of packages: languages' first documents against the same with one line moved.
+# Comparison of packages: a language's documents among each COMPARED neighbouring ids against the same with one line moved.
+
+COMPARED = 40
 
 
 def _sides(spark, sf_dir):
-    pages = fingerprint.page_fingerprints(D.raw_pages(spark, sf_dir).filter("document_id < 'DOC-000041'")).withColumn("file_order", F.col("document_id"))
+    block = F.floor((F.substring("document_id", 5, 20).cast("long") - 1) / COMPARED)
+    raw = D.raw_pages(spark, sf_dir).withColumn("package_id", F.concat_ws("-", "package_id", block.cast("string")))
+    pages = fingerprint.page_fingerprints(raw).withColumn("file_order", F.col("document_id"))
     moved = pages.filter("page_index <> 1 or document_id like '%7'").withColumn("page_index", F.when(F.col("document_id").endswith("3"), -F.col("page_index")).otherwise(F.col("page_index")))
     return pages, moved
 

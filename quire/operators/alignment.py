@@ -36,19 +36,30 @@ def side_pages(pages: DataFrame, side: str) -> DataFrame:
     return one.select("package_id", "side", "overall", "text_hash", "normalized_text", "extra", veto.alias("veto_key"), F.transform("images", lambda i: i["byte_sha256"]).alias("image_bytes"))
 
 
+SAME_AT = 0.95
+
+
 def _aligned(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    old, new = (pdf[pdf["side"] == s].sort_values("overall").reset_index(drop=True) for s in ("old", "new"))
+    old, new = (pdf[pdf["side"] == s].sort_values("overall") for s in ("old", "new"))
+    rows = lambda side: [(v, h, t.split(), list(b), e) for v, h, t, b, e in zip(side["veto_key"], side["text_hash"], side["normalized_text"], side["image_bytes"], side["extra"], strict=True)]
+    was, now = rows(old), rows(new)
     found: list[tuple] = []
 
-    def score(p: pd.Series, q: pd.Series) -> tuple[float, bool]:
-        """(confidence, vetoed)."""
-        if p.veto_key != q.veto_key:
+    def score(p: tuple, q: tuple, least: float = 0.0) -> tuple[float, bool]:
+        """(confidence, vetoed); 0 where a bound shows that the words don't reach least."""
+        if p[0] != q[0]:
             return 0.0, True
-        if p.text_hash == q.text_hash:
+        if p[1] == q[1]:
             words = 1.0
         else:
-            words = difflib.SequenceMatcher(None, p.normalized_text.split(), q.normalized_text.split()).ratio()
-        return (words if list(p.image_bytes) == list(q.image_bytes) else min(words, 0.5)), False
+            total = len(p[2]) + len(q[2])
+            if total and 2 * min(len(p[2]), len(q[2])) / total < least:
+                return 0.0, False
+            matcher = difflib.SequenceMatcher(None, p[2], q[2])
+            if least and matcher.quick_ratio() < least:
+                return 0.0, False
+            words = matcher.ratio()
+        return (words if p[3] == q[3] else min(words, 0.5)), False
 
     def band(c: float, vetoed: bool) -> str:
         if vetoed or c < 0.80:
@@ -64,7 +75,7 @@ def _aligned(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
                 matched_old.append(i)
         elif tag == "replace" and i2 - i1 == j2 - j1:
             for i, j in zip(range(i1, i2), range(j1, j2), strict=True):
-                c, vetoed = score(old.iloc[i], new.iloc[j])
+                c, vetoed = score(was[i], now[j])
                 name = band(c, vetoed)
                 if name == "Meaningful Difference" and not vetoed:
                     open_old.append(i), open_new.append(j)
@@ -80,22 +91,22 @@ def _aligned(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         for j in open_new:
             if j in claimed:
                 continue
-            c, vetoed = score(old.iloc[i], new.iloc[j])
+            c, vetoed = score(was[i], now[j], SAME_AT)
             if not vetoed and c > best:
                 best, at = c, j
-        if at is not None and best >= 0.95:
+        if at is not None and best >= SAME_AT:
             claimed.add(at)
             matched_old.append(i)
             found.append((MOVED, i, at, best))
-        elif old.iloc[i].extra:
+        elif was[i][4]:
             found.append((EXTRA, i, None, None))
-        elif any(not (s := score(old.iloc[i], old.iloc[m]))[1] and s[0] >= 0.95 for m in matched_old):
+        elif any(not (s := score(was[i], was[m], SAME_AT))[1] and s[0] >= SAME_AT for m in matched_old):
             found.append((REMOVED, i, None, None))
         else:
             found.append((MISSING, i, None, None))
     for j in open_new:
         if j not in claimed:
-            found.append((EXTRA if new.iloc[j].extra else ONLY_NEW, None, j, None))
+            found.append((EXTRA if now[j][4] else ONLY_NEW, None, j, None))
     rows = [(key[0], f"CMP-{k:04d}", c, i, j, s) for k, (c, i, j, s) in enumerate(found, 1)]
     out = pd.DataFrame(rows, columns=["package_id", "finding_id", "category", "old_page", "new_page", "confidence"])
     return out.astype({"old_page": "Int32", "new_page": "Int32", "confidence": "Float64"})

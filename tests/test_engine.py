@@ -212,6 +212,20 @@ def test_streaming_exact(spark, tmp_path):
     assert spark.table("firsts").count() == 2
 
 
+def test_comparison_covers_every_document(spark, tmp_path):
+    from quire import catalogue
+
+    rows = [(i, "\n".join(words(100 * i + k, 20) for k in range(3)), "en", "s") for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.compare_packages(spark, str(tmp_path)).collect()
+    assert {r.package_id for r in got} == {"en-0", "en-1", "en-2"}
+    # Every page of the old side has one finding: 40, 40 and 20 documents of three pages.
+    for package, n in (("en-0", 120), ("en-1", 120), ("en-2", 60)):
+        assert sorted(r.old_page for r in got if r.package_id == package and r.old_page is not None) == list(range(n))
+    counted = catalogue.compare_categories(spark, str(tmp_path)).agg(F.sum("n")).first()[0]
+    assert counted == len(got)
+
+
 @pytest.mark.parametrize("name", ["exact_dup_groups", "plan_parts", "exact_containment"])
 def test_queries_run(spark, name):
     from quire import catalogue
