@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Conversations are paired inside blocks of so many neighbouring ids, so a first turn that most of them share is no hot group.
+#: Neighbouring ids that are numbered together: a first turn that most conversations share is no hot group.
 BLOCK = 256
 
 
@@ -54,19 +54,26 @@ def conversations_as_rows(turns: DataFrame, id_col: str = "conv_id", turn_col: s
     return found.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
-def pair_conversations(rows: DataFrame) -> DataFrame:
+def pair_conversations(rows: DataFrame, whole: bool = False) -> DataFrame:
     """(chosen_id, chosen_turns, rejected_id, rejected_turns) of conversations that begin with the same turn.
 
-    In a block of BLOCK ids, those with one first turn are paired in order of id: first with second, third with fourth. The one with
-    more characters in assistant turns is chosen, the smaller id if equal. One that is left over is chosen, against none.
+    In the whole table, or else in a block of BLOCK ids, those with one first turn are paired in order of id: first with second,
+    third with fourth. The one with more characters in assistant turns is chosen, the smaller id if equal. One that is left over is
+    chosen, against none.
     """
     spoken = F.aggregate("turns", F.lit(0), lambda n, t: n + F.when(t["role"] == "assistant", F.length(t["text"])).otherwise(0))
     first = F.sha2(F.concat_ws("\x00", F.get("turns", F.lit(0))["role"], F.get("turns", F.lit(0))["text"]), 256)
     keyed = rows.withColumn("key", first).withColumn("block", F.floor(F.col("conv_id") / BLOCK))
-    order = F.row_number().over(W.partitionBy("key", "block").orderBy("conv_id"))
-    keyed = keyed.withColumn("pair", F.floor((order - 1) / 2))
+    order = F.row_number().over(W.partitionBy("key", "block").orderBy("conv_id")).cast("long")
+    group = ["key", "pair"] if whole else ["key", "block", "pair"]
+    keyed = keyed.withColumn("nth", order - 1)
+    if whole:  # a number inside the block and how many come before the block; only a row a block goes through the second window
+        before = W.partitionBy("key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+        offsets = keyed.groupBy("key", "block").agg(F.count("*").alias("n")).select("key", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        keyed = keyed.join(offsets, ["key", "block"]).withColumn("nth", F.col("nth") + F.col("offset"))
+    keyed = keyed.withColumn("pair", F.floor(F.col("nth") / 2))
     one = F.struct((-spoken).alias("less"), F.col("conv_id").alias("id"), F.col("turns").alias("turns"))
-    both = keyed.groupBy("key", "block", "pair").agg(F.array_sort(F.collect_list(one)).alias("p"))
+    both = keyed.groupBy(*group).agg(F.array_sort(F.collect_list(one)).alias("p"))
     best, other = F.get("p", F.lit(0)), F.get("p", F.lit(1))
     return both.select(best["id"].alias("chosen_id"), best["turns"].alias("chosen_turns"), other["id"].alias("rejected_id"), other["turns"].alias("rejected_turns"))
 

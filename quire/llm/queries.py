@@ -45,7 +45,7 @@ def op5_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(pair_conversations(conversations_as_rows(_table(spark, sf_dir, "conversations"))))
+    return format_preferences(pair_conversations(conversations_as_rows(_table(spark, sf_dir, "conversations")), whole=True))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,3 +175,15 @@ def test_preferences(conversations):
     assert got[3].rejected is None and got[3].prompt == "<|user|>\nhi<|end|>\n" and got[3].chosen == ""
     assert "x < |end|> y<|end|>" in got[4].prompt and got[4].chosen == "<|assistant|>\n<|end|>\n"
     assert format_preferences(pair_conversations(conversations_as_rows(conversations.limit(0)))).collect() == []
+
+
+def test_preferences_pair_over_the_whole_table(spark, tmp_path):
+    from quire.llm.queries import op6_preference
+
+    ids = [3, 255, 256, 600, 601, 5000, 9999]
+    said = {i: "x" * (i % 13 + 1) for i in ids}
+    rows = [(i, t, r, "hi" if r == "user" else said[i]) for i in ids for t, r in enumerate(("user", "assistant"))] + [(700, 0, "user", "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = op6_preference(spark, str(tmp_path)).collect()
+    assert {frozenset((r.chosen_id, r.rejected_id)) for r in got} == {frozenset(p) for p in ((3, 255), (256, 600), (601, 5000), (9999, None), (700, None))}
+    assert all(r.n_shared == 1 and len(said[r.chosen_id]) >= len(said[r.rejected_id]) for r in got if r.rejected_id is not None)
