@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +23,87 @@ BUCKETS = 1 << 17
 DIM = 16
 WINDOW = 32
 #: The classifier is fitted on at most this many labelled documents of each class, those with the smallest hash of their id,
-#: and on at most this many of their words.
+#: and on at most this many words of each class: where a class has more, its longest documents give only some of their passages.
 SAMPLE_PER_CLASS = 1200
 SAMPLE_WORDS = 800_000
 #: Passes over the sample, and the fewest steps: a small sample is passed more often.
 EPOCHS, STEPS = 8, 300
 BATCH_ROWS = 512
 CACHED_WORDS = 300_000
+#: Longer words are read in pieces, so that a few n-grams of a long one aren't drowned.
+LONGEST = 64
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¿¡…“”‘’«»"
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case. One of more than LONGEST characters stands as pieces, each after a space, that have all its n-grams."""
+    found = text.lower().split()
+    if not found or max(map(len, found)) <= LONGEST:
+        return found
+    out = []
+    for token in found:
+        w = token.strip(_PUNCTUATION) or token
+        if len(w) <= LONGEST:
+            out.append(token)
+            continue
+        w = f"<{w}>"
+        out.extend(" " + w[i : i + LONGEST] for i in range(0, len(w) - 4, LONGEST - 4))
+    return out
+
+
 def subwords(token: str) -> list[int]:
-    """Buckets of a word and its character n-grams of 3 to 5, with < and > at its ends."""
-    w = f"<{token.strip(_PUNCTUATION) or token}>"
-    if len(w) > 66:  # a word of this length is no word; its ends tell as much
-        w = w[:33] + w[-33:]
+    """Buckets of a word and its character n-grams of 3 to 5, with < and > at its ends; a piece of a long word has its own ends."""
+    w = token[1:] if token[0] == " " else f"<{token.strip(_PUNCTUATION) or token}>"
     grams = {w} | {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)}
     return [zlib.crc32(g.encode("utf-8", "replace")) & (BUCKETS - 1) for g in grams]
 
 
+def word_level(sizes: list[int], bound: int) -> int:
+    """The most words that each text may give, so that all together give bound at most."""
+    left, rest = bound, sorted(sizes)
+    for k, n in enumerate(rest):
+        if n * (len(rest) - k) > left:
+            return left // (len(rest) - k)
+        left -= n
+    return max(rest, default=0)
+
+
+def passages(words: list[str], most: int, seed: int) -> list[str]:
+    """At most so many words: all of a short text, else passages of WINDOW words that the seed picks, in their order."""
+    if len(words) <= most:
+        return words
+    starts = np.arange(0, len(words), WINDOW)
+    picked = np.sort(np.random.default_rng(seed).permutation(starts)[: -(-most // WINDOW) + 1])
+    return [w for a in picked.tolist() for w in words[a : a + WINDOW]][:most]
+
+
+def sampled(rows: Iterable[tuple[str, int]], most: int, bound: int) -> tuple[list[list[str]], list[int]]:
+    """(words of texts, classes) in the order of rows: the first texts of each class, at most so many, and all their words up to bound.
+
+    Where a class has more words, level by level its longest texts give passages only, so no text pushes others out.
+    """
+    kept: dict[int, list[list[str]]] = {0: [], 1: []}
+    held, order, same = {0: 0, 1: 0}, [], {}
+
+    def fit(y: int) -> None:
+        level = word_level([len(t) for t in kept[y]], bound)
+        kept[y] = [passages(t, level, k) for k, t in enumerate(kept[y])]
+        held[y] = sum(map(len, kept[y]))
+
+    for text, y in rows:
+        if len(kept[y]) == most:
+            continue
+        order.append((y, len(kept[y])))
+        kept[y].append([same.setdefault(w, w) for w in passages(words_of(text), bound, len(kept[y]))])
+        held[y] += len(kept[y][-1])
+        if held[y] > 2 * bound:  # so memory stays bounded
+            fit(y)
+    for y in kept:
+        if held[y] > bound:
+            fit(y)
+    return [kept[y][k] for y, k in order], [y for y, _ in order]
+
+
 def _misspelt(word: str, rng: np.random.Generator) -> str:
     if len(word) < 4:
         return word
@@ -81,12 +143,12 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return begin + np.arange(int(sizes.sum()))
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """(one number a bucket, bias): the logit of a passage is the bias and the mean over its words of the means of their buckets."""
+def train(texts: list[str] | list[list[str]], labels: list[int], seed: int = 7, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """(one number a bucket, bias) from texts or their words: the logit of a passage is the bias and the mean over its words of the means of their buckets."""
     rng = np.random.default_rng(seed)
     types, docs = _Types(), []
     for t in texts:
-        docs.append(np.array([types.of(w) for w in t.lower().split()], np.int32))
+        docs.append(np.array([types.of(w) for w in (words_of(t) if isinstance(t, str) else t)], np.int32))
     plain = len(types.sizes)
     other = np.arange(plain, dtype=np.int32)
     for w, i in list(types.ids.items()):
@@ -187,7 +249,7 @@ def _scorer(shared, bias: float):
         for batch in batches:
             out = []
             for t in batch.column(2).to_pylist():
-                v = np.array(list(map(words.__getitem__, t.lower().split())), np.float64) if t else np.zeros(0)
+                v = np.array(list(map(words.__getitem__, words_of(t))), np.float64) if t else np.zeros(0)
                 out.append(float(1 / (1 + np.exp(-np.clip(best_window(v)[1] + bias, -40, 40)))) if len(v) else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], names=["id", "held_out", "score", "predicted"])
 
@@ -209,14 +271,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     order = [F.xxhash64(id_col), F.col(id_col)]
     chosen = known.filter("_y = 0").orderBy(*order).limit(sample).unionByName(known.filter("_y = 1").orderBy(*order).limit(sample))
     found = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("_t")).join(chosen, id_col)
-    texts, ys, words = [], [], 0
     rows = found.select("_t", "_y", F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_i"))
-    for r in rows.orderBy("_h", "_i", "_t").toLocalIterator():  # at most 2 x sample documents
-        words += r._t.count(" ") + 1
-        if words > SAMPLE_WORDS:
-            break
-        texts.append(r._t)
-        ys.append(r._y)
+    texts, ys = sampled(((r._t, r._y) for r in rows.orderBy("_h", "_i", "_t").toLocalIterator()), sample, SAMPLE_WORDS)
     weights, bias = train(texts, ys) if texts else (np.zeros(BUCKETS, np.float32), -30.0)
     shared = spark.sparkContext.broadcast(weights)  # BUCKETS numbers, whatever the input
     kind = docs.schema[id_col].dataType.simpleString()

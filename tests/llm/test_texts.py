@@ -12,7 +12,7 @@ from quire.llm import pii
 from quire.llm.language_id import identify_languages
 from quire.llm.preference import conversations_as_rows, format_preferences, pair_conversations
 from quire.llm.segmentation import MODEL, Batch, decode_pieces, load, sample_segmentations
-from quire.llm.toxicity import score_toxicity, train
+from quire.llm.toxicity import sampled, score_toxicity, subwords, train, words_of
 from quire.llm.wordhash import mix
 
 FRENCH, GERMAN = "le la les une que des tion ment eau aux ré pour dans".split(), "der die das und schung keit lich ein ge ver für nicht".split()
@@ -187,3 +187,24 @@ def test_preferences_pair_over_the_whole_table(spark, tmp_path):
     got = op6_preference(spark, str(tmp_path)).collect()
     assert {frozenset((r.chosen_id, r.rejected_id)) for r in got} == {frozenset(p) for p in ((3, 255), (256, 600), (601, 5000), (9999, None), (700, None))}
     assert all(r.n_shared == 1 and len(said[r.chosen_id]) >= len(said[r.rejected_id]) for r in got if r.rejected_id is not None)
+
+
+def test_a_long_text_pushes_no_other_out():
+    rows = [("bad " * 5000, 1), ("good " * 5000, 0), *((f"idiot number{i}", 1) for i in range(20)), *((f"nice number{i}", 0) for i in range(20))]
+    texts, ys = sampled(rows, 50, 1000)
+    assert ys == [y for _, y in rows] and [" ".join(t) for t in texts[2:]] == [t for t, _ in rows[2:]]
+    assert 900 < len(texts[0]) <= 960 and sum(len(t) for t, y in zip(texts, ys, strict=True) if y == 1) <= 1000
+    assert len(sampled(rows, 5, 1000)[0]) == 10 and sampled([], 5, 10) == ([], [])
+    assert sampled(rows, 50, 1000) == (texts, ys)
+
+
+def test_long_words_are_read_whole():
+    grams = lambda w: {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)}
+    token = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(301))
+    pieces = words_of(f"one {token} two")
+    assert pieces[0] == "one" and pieces[-1] == "two" and len(pieces) > 4
+    assert set().union(*(grams(p[1:]) for p in pieces[1:-1])) == grams(f"<{token}>")
+    joined = "-".join(["fine"] * 40 + ["idiot"] + ["fine"] * 40)
+    weights, bias = train(["a fine day", "an idiot day"] * 8, [0, 1] * 8)
+    score = lambda t: max(np.mean([weights[b] for b in subwords(w)]) for w in words_of(t))
+    assert score(joined) > score(joined.replace("idiot", "fine"))
