@@ -353,9 +353,13 @@ def processing_report(spark, sf_dir):
     return reports.processing_report(run.occurrences, run.pages)
 
 
+def _part_rows(run):
+    return run.final_parts.select("package_id", F.col("part").cast("int").alias("part"), "page_count", F.col("n_documents").cast("long").alias("n_documents"), F.array_join("document_ids", "|").alias("documents"))
+
+
 @query
 def final_parts(spark, sf_dir):
-    return _run(spark, sf_dir, False).final_parts.select("package_id", F.col("part").cast("int").alias("part"), "page_count", F.col("n_documents").cast("long").alias("n_documents"), F.array_join("document_ids", "|").alias("documents"))
+    return _part_rows(_run(spark, sf_dir, False))
 
 
 @query
@@ -376,7 +380,26 @@ def batch_summary(spark, sf_dir):
 
 @query
 def manifest_json(spark, sf_dir):
-    return reports.manifest(_run(spark, sf_dir, False).occurrences)
+    return reports.manifest(_run(spark, sf_dir).occurrences)
+
+
+# The three reports above with SQL are those of exact duplicates alone; these are of the whole run, which has no SQL.
+
+
+@query
+def content_duplicate_log(spark, sf_dir):
+    return reports.duplicate_log(_run(spark, sf_dir).occurrences)
+
+
+@query
+def content_processing_report(spark, sf_dir):
+    run = _run(spark, sf_dir)
+    return reports.processing_report(run.occurrences, run.pages)
+
+
+@query
+def content_final_parts(spark, sf_dir):
+    return _part_rows(_run(spark, sf_dir))
 
 
 # Sources and signals.

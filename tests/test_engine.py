@@ -226,6 +226,26 @@ def test_comparison_covers_every_document(spark, tmp_path):
     assert counted == len(got)
 
 
+def test_reports_of_the_whole_run(spark, tmp_path, monkeypatch):
+    import json
+
+    from quire import catalogue
+
+    a, b, c, d = (words(i) for i in range(4))
+    texts = ["\n".join([a, b, c]), "\n".join([a, b]), d, d.upper().replace(" ", "  "), d]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    runs = {True: catalogue._run(spark, str(tmp_path))}  # made once; a query that asks for the run of exact duplicates fails
+    monkeypatch.setattr(catalogue, "_run", lambda spark, sf_dir, aware=True: runs[aware])
+    ask = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
+    kept = {r.document_id: json.loads(r.json) for r in ask("manifest_json")}
+    assert kept["DOC-000002"]["contained_in"] == "DOC-000001" and {k for k, r in kept.items() if r["included_in_final"]} == {"DOC-000001", "DOC-000003"}
+    log = {(r.document_id, r.retained_id, r.method == "exact") for r in ask("content_duplicate_log")}
+    assert log == {("DOC-000005", "DOC-000003", True), ("DOC-000004", "DOC-000003", False)}
+    report = ask("content_processing_report")[0]
+    assert (report.found, report.exact_duplicates, report.content_duplicates, report.contained, report.in_final) == (5, 1, 1, 1, 2)
+    assert [r.documents for r in ask("content_final_parts")] == ["DOC-000001|DOC-000003"]
+
+
 @pytest.mark.parametrize("name", ["exact_dup_groups", "plan_parts", "exact_containment"])
 def test_queries_run(spark, name):
     from quire import catalogue
