@@ -246,6 +246,15 @@ def test_reports_of_the_whole_run(spark, tmp_path, monkeypatch):
     assert [r.documents for r in ask("content_final_parts")] == ["DOC-000001|DOC-000003"]
 
 
+def test_long_chains_of_containers(spark):
+    from quire.operators.containment import topmost
+
+    engine.ensure_checkpoints(spark)
+    df = spark.createDataFrame([(p, f"D{i}", f"D{i + 1}") for p, n in (("P", 100), ("Q", 3)) for i in range(n)], "package_id string, document_id string, container_id string")
+    got = topmost(df).collect()
+    assert len(got) == 103 and {(r.package_id, r.retained_id) for r in got} == {("P", "D100"), ("Q", "D3")}
+
+
 @pytest.mark.parametrize("name", ["exact_dup_groups", "plan_parts", "exact_containment"])
 def test_queries_run(spark, name):
     from quire import catalogue
