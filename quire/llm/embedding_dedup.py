@@ -155,7 +155,7 @@ def near_duplicate_embeddings(df: DataFrame, threshold: float = 0.98, id_col: st
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    scratch = Scratch(spark, "caps")
+    scratch = Scratch(spark, "caps", df)
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     rows = usable(df, id_col, vec_col, [label.alias("label")]).filter("label is not null")
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0

@@ -79,7 +79,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     Rows that share id and text are one document and share its result; rows that share an id only follow one another in an
     order of their texts' hashes. Columns named n_lines or n_removed are replaced, others pass through. An empty table stays empty.
     """
-    scratch = Scratch(docs.sparkSession, "lines")
+    scratch = Scratch(docs.sparkSession, "lines", docs)
     first = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     keyed = docs.select(first.alias("k1"), F.xxhash64(text_col).alias("k2"), F.col(text_col).alias("text"))
     windows = scratch.save(_windows(_lines(keyed), min_words), "windows")
@@ -91,11 +91,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     later = live.join(firsts, ["q1", "q2"]).filter(at > F.col("first")).select("k1", "k2", "start", "end")
     flags = scratch.save(_kept_flags(later), "flags")
     scratch.drop("windows")
-    flags = flags.withColumnsRenamed({"k1": "_k1", "k2": "_k2", "keep": "_keep"})
-    joined = docs.drop("n_lines", "n_removed").join(flags, (first == F.col("_k1")) & (F.xxhash64(text_col) == F.col("_k2")), "left")
+    flags = flags.withColumnsRenamed({"k1": "__lines_k1", "k2": "__lines_k2", "keep": "__lines_keep"})
+    joined = docs.drop("n_lines", "n_removed").join(flags, (first == F.col("__lines_k1")) & (F.xxhash64(text_col) == F.col("__lines_k2")), "left")
     lines = F.split(text_col, "\n", -1)
-    kept = F.filter(lines, lambda _, i: F.coalesce(F.get("_keep", i), F.lit(True)))
+    kept = F.filter(lines, lambda _, i: F.coalesce(F.get("__lines_keep", i), F.lit(True)))
     out = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col("_keep").isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(F.filter("_keep", lambda x: ~x))).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("_keep").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-    return out.drop("_k1", "_k2", "_keep")
+    out = out.withColumn("n_removed", F.when(F.col("__lines_keep").isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(F.filter("__lines_keep", lambda x: ~x))).cast("long"))
+    out = out.withColumn(text_col, F.when(F.col("__lines_keep").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    return out.drop("__lines_k1", "__lines_k2", "__lines_keep")

@@ -62,11 +62,37 @@ def mix_sources(docs: DataFrame, max_repeats: int = MAX_REPEATS, id_col: str = "
     The order is a hash of the id and then of the text: rows that repeat both are interchangeable and each counts; a null id
     is an id like another. Empty tables give empty results. Other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "mix")
-    sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"),
-        F.md5(F.concat(F.lit("mix/"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")).alias("key"), F.xxhash64(text_col).alias("tie"),
-    )
+    queued = _queued(docs, max_repeats, id_col, text_col, source_col)
+    return queued.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def mixed_rows(docs: DataFrame, max_repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """What the mix takes: the rows of docs, each as often as it is taken, with all their columns; repeats of a row follow one another.
+
+    Rows meet their counts by id and text, a null id being an id like another; rows that repeat both share their counts evenly.
+    """
+    queued = _queued(docs, max_repeats, id_col, text_col, source_col).filter("taken > 0")
+    times = queued.groupBy(F.col("key").alias("__mix_key"), F.col("tie").alias("__mix_tie")).agg(F.sum(F.col("taken") / F.col("size")).cast("long").alias("__mix_times"))
+    key, tie = _keys(id_col, text_col)
+    rows = docs.withColumns({"__mix_key": key, "__mix_tie": tie}).join(times, ["__mix_key", "__mix_tie"])
+    same = W.partitionBy("__mix_key", "__mix_tie")
+    # A row's share: all times of its group, dealt out one by one.
+    rows = rows.withColumns({"__mix_nth": F.row_number().over(same.orderBy("__mix_times")), "__mix_all": F.count(F.lit(1)).over(same)})
+    share = F.floor((F.col("__mix_times") - F.col("__mix_nth")) / F.col("__mix_all")) + 1
+    rows = rows.withColumn("__mix_copy", share.cast("int")).filter("__mix_copy > 0")
+    return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copy")))).select(docs.columns)
+
+
+def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """A row's place in the shuffled order, and what decides between rows that share an id."""
+    return F.md5(F.concat(F.lit("mix/"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")), F.xxhash64(text_col)
+
+
+def _queued(docs: DataFrame, max_repeats: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, size, key, tie, source_size, target, upto, taken) of every row."""
+    scratch = Scratch(docs.sparkSession, "mix", docs)
+    key, tie = _keys(id_col, text_col)
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"), tie.alias("tie"))
     # Which bucket of its source's shuffled order a document is in: the leading hex digits of its key.
     sized = sized.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("int") * SHUFFLE_BUCKETS / 65536).cast("int"))
     sized = scratch.save(sized, "sized")
@@ -97,7 +123,7 @@ def mix_sources(docs: DataFrame, max_repeats: int = MAX_REPEATS, id_col: str = "
         served = F.size(F.filter(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda r: _not_after(
             [(F.col("upto") + r.cast("long") * F.col("source_size")).cast("double") / F.col("target"), F.col("source").isNull(), F.coalesce("source", F.lit("")), F.col("key"), F.col("tie")], at)))
     taken = F.when((F.col("size") > 0) & (F.col("target") > 0), served * F.col("size")).otherwise(0).cast("long")
-    return queued.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+    return queued.withColumn("taken", taken)
 
 
 ORDER = ["finish", "unnamed", "source", "key", "tie"]

@@ -153,7 +153,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, least: int = LEAST, s
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    scratch = Scratch(spark, "multi")
+    scratch = Scratch(spark, "multi", df)
     rows, asked = usable(df, id_col, vec_col), usable(queries, id_col, vec_col)
     schema = "query_id long, rank int, vec_id long, score double"
     shape = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).orderBy(F.desc("n"), F.desc("d")).first()

@@ -26,20 +26,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
-from quire.llm.scratch import Scratch
-from quire.llm.wordhash import mix, shingle_hashes, word_hashes
+from quire.llm.scratch import FEW, FEW_TASKS, Scratch
+from quire.llm.wordhash import mix, shingle_hashes, slices, word_hashes
 
 SKETCH_BITS = 20
 SKETCH_BLOCK = 4096
 HUB_ORDERS, HUBS = 8, 2
-#: 64-bit words of the short parities that travel with postings, and how many earlier tokens a posting remembers.
-PARITY_WORDS, EARLIER = 8, 8
+#: 64-bit words of the short parities that travel with postings, and of those that meet pairs; how many of its document's first tokens a posting remembers.
+PARITY_WORDS, WIDE_WORDS, EARLIER = 8, 16, 8
 #: The further global orders; the postings are under order 0.
 ORDERS = (1, 2)
-#: Cells of the bit maps that tell early which rows a later join can drop; a full map only lets more through.
-MAP_BITS = 24
-#: Rows of an Arrow batch: texts may be long.
-BATCH_ROWS = 256
+#: Bit maps tell early which rows a later join can drop; they have 16 cells a row, within these powers of 2. A full map only lets more through.
+MAP_BITS = (17, 27)
+#: Texts are worked on so many rows and about so many bytes at a time.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, 1, BATCH_ROWS, BATCH_BYTES)
 
 
 def _salted(h: np.ndarray, order: int) -> np.ndarray:
@@ -60,15 +65,16 @@ def _prefix(h: np.ndarray, order: int, weight: np.ndarray, num: int, den: int) -
     return h[np.argsort(rank)]
 
 
-def _short_parity(h: np.ndarray) -> list[int]:
-    """For each of 64 PARITY_WORDS cells, whether an odd number of shingles fall there, as signed words."""
-    cells = np.bincount(_salted(h, 400) & np.uint64(64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
+def _short_parity(h: np.ndarray, words: int) -> list[int]:
+    """For each of 64 cells a word, whether an odd number of shingles fall there, as signed words; the halves of a longer one xor to one half as long."""
+    cells = np.bincount(_salted(h, 400) & np.uint64(64 * words - 1), minlength=64 * words) & 1
     return np.packbits(cells.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _in_reach(na: str, nb: str, a: str, b: str, num: int, den: int) -> F.Column:
+def _in_reach(na: str, nb: str, a: str, b: str, num: int, den: int, words: int = PARITY_WORDS) -> F.Column:
     """Whether sizes and short parities let two sets reach the threshold: no pair that does is lost."""
-    differing = sum((F.bit_count(F.col(f"{a}{j}").bitwiseXOR(F.col(f"{b}{j}"))) for j in range(1, PARITY_WORDS)), F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))))
+    word = lambda j: F.bit_count(F.get(a, F.lit(j)).bitwiseXOR(F.get(b, F.lit(j))))
+    differing = sum((word(j) for j in range(1, words)), word(0))
     most = F.least(F.col(na), F.col(nb), F.floor((F.col(na) + F.col(nb) - differing) / 2))
     return den * most >= num * (F.col(na) + F.col(nb) - most)
 
@@ -76,23 +82,24 @@ def _in_reach(na: str, nb: str, a: str, b: str, num: int, den: int) -> F.Column:
 def _profile(k: int):
     """A row per document (kind 0) and the task's share of the count sketch (kind 1).
 
-    A document's row has a fingerprint of its set, its first shingle under each hub order, and its short parity.
+    A document's row has a fingerprint of its set, the hash of its first shingle under each hub order, and its short parity.
     """
     names = ["kind", "id", "n", "f1", "f2", "first", "parity", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             sets = shingle_hashes(*word_hashes(batch.column(1)), k)
             if sets:
                 sketch += np.bincount(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), minlength=1 << SKETCH_BITS)
             one = [int(np.bitwise_xor.reduce(mix(h))) if len(h) else 0 for h in sets]
             two = [int(np.add.reduce(_salted(h, 77))) if len(h) else 0 for h in sets]
-            first = [[int(h[np.argmin(_salted(h, 100 + j))].astype(np.int64)) for j in range(HUB_ORDERS)] if len(h) else None for h in sets]
+            orders = np.arange(HUB_ORDERS, dtype=np.uint64)
+            first = [mix(np.array([_salted(h, 100 + j).min() for j in range(HUB_ORDERS)]) + orders).astype(np.int64).tolist() if len(h) else None for h in sets]
             signed = lambda xs: pa.array(np.array(xs, np.uint64).astype(np.int64))
             size = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(size, np.int32)), batch.column(0), pa.array([len(h) for h in sets], pa.int64()), signed(one), signed(two), pa.array(first, pa.list_(pa.int64())), pa.array([_short_parity(h) for h in sets], pa.list_(pa.int64())), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
+                [pa.array(np.zeros(size, np.int32)), batch.column(0), pa.array([len(h) for h in sets], pa.int64()), signed(one), signed(two), pa.array(first, pa.list_(pa.int64())), pa.array([_short_parity(h, WIDE_WORDS) for h in sets], pa.list_(pa.int64())), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
                 names=names,
             )
         if sketch.any():
@@ -116,22 +123,25 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
 
 
-def _cells(values: np.ndarray) -> np.ndarray:
-    return mix(values.astype(np.int64).view(np.uint64) + np.uint64(1)) >> np.uint64(64 - MAP_BITS)
+def _cells(values: np.ndarray, bits: int) -> np.ndarray:
+    return mix(values.astype(np.int64).view(np.uint64) + np.uint64(1)) >> np.uint64(64 - bits)
 
 
 def _may_hold(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = _cells(values)
+    at = _cells(values, len(bits).bit_length() + 2)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << MAP_BITS, bool)
-    for batch in batches:
-        bits[_cells(np.asarray(batch.column(0)))] = True
-    blocks = np.packbits(bits, bitorder="little").reshape(-1, SKETCH_BLOCK)
-    used = np.flatnonzero(blocks.any(1))
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
+def _marked(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << size, bool)
+        for batch in batches:
+            bits[_cells(np.asarray(batch.column(0)), size)] = True
+        blocks = np.packbits(bits, bitorder="little").reshape(-1, SKETCH_BLOCK)
+        used = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
+
+    return run
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,32 +152,39 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "bits"])
 
 
-def _bit_map(values: DataFrame) -> np.ndarray:
-    """A bit for each cell that one of the longs falls into: 2 ** MAP_BITS bits, whatever the input."""
+def _bit_map(values: DataFrame, count: int) -> np.ndarray:
+    """A bit for each cell that one of the longs falls into: at most 2 ** 27 bits, whatever the input."""
     schema = "block int, bits binary"
-    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
-    for r in values.mapInArrow(_marked, schema).repartition(16, "block").mapInArrow(_united, schema).toLocalIterator():
-        out[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(r.bits, np.uint8)
+    size = min(MAP_BITS[1], max(MAP_BITS[0], (16 * count).bit_length()))
+    out = np.zeros((1 << size) // 8, np.uint8)
+    marked = values.mapInArrow(_marked(size), schema)
+    if count > FEW:
+        marked = marked.repartition(16, "block").mapInArrow(_united, schema)
+    for r in marked.toLocalIterator():
+        out[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] |= np.frombuffer(r.bits, np.uint8)
     return out
 
 
 def _hits(bits):
-    """A row for each prefix token that may join two components, with the first few such tokens before it."""
+    """A row for each prefix token that may join two components, with the document's first few such tokens as far as they stand before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            values, at = np.asarray(lists.values), np.asarray(lists.offsets)
-            owner = np.repeat(np.arange(len(lists)), np.diff(at))
-            values = values[at[0] : at[-1]]
-            hit = _may_hold(bits.value, values)
-            owner, values = owner[hit], values[hit]
-            first = np.searchsorted(owner, np.arange(len(lists) + 1))
-            n = np.minimum(np.arange(len(owner)) - first[owner], EARLIER)
-            begin = np.concatenate([[0], np.cumsum(n)])
-            source = np.repeat(first[owner] - begin[:-1], n) + np.arange(int(begin[-1]))
-            earlier = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values[source]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(j).take(pa.array(owner)) for j in range(3)], pa.array(values), earlier], names=["id", "n", "comp", "token", "earlier"])
+        for whole in batches:
+            for at in range(0, len(whole), BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                lists = batch.column(4)
+                values, at = np.asarray(lists.values), np.asarray(lists.offsets)
+                owner = np.repeat(np.arange(len(lists)), np.diff(at))
+                values = values[at[0] : at[-1]]
+                hit = _may_hold(bits.value, values)
+                owner, values = owner[hit], values[hit]
+                first = np.searchsorted(owner, np.arange(len(lists) + 1))
+                n = np.minimum(np.arange(len(owner)) - first[owner], EARLIER)
+                begin = np.concatenate([[0], np.cumsum(n)])
+                source = np.repeat(first[owner] - begin[:-1], n) + np.arange(int(begin[-1]))
+                earlier = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values[source]))
+                owner = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([*[batch.column(j).take(owner) for j in range(4)], pa.array(values), earlier], names=["id", "n", "comp", "parity", "token", "earlier"])
 
     return run
 
@@ -189,15 +206,16 @@ def _chosen(batch: pa.RecordBatch, ids: np.ndarray | None) -> pa.RecordBatch:
 
 
 def _postings(k: int, num: int, den: int, weight):
-    """(id, n, p0): the prefix of each set under the first order."""
+    """(id, n, parity, p0): the prefix of each set under the first order, and its short parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = shingle_hashes(*word_hashes(batch.column(1)), k)
             got = [_prefix(h, 0, weight.value, num, den) if len(h) else h for h in sets]
             at = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
             values = (np.concatenate(got) if got else np.zeros(0, np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["id", "n", "p0"])
+            parity = pa.array([_short_parity(h, PARITY_WORDS) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), parity, pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["id", "n", "parity", "p0"])
 
     return run
 
@@ -222,7 +240,7 @@ def _filters(k: int, num: int, den: int, weight, ids):
     """(id, n, f1, f2, ..., parity): prefixes under the further orders, cut to 32 bits, and the parities. Cut hashes can only let more pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             batch = _chosen(batch, ids.value)
             sets = shingle_hashes(*word_hashes(batch.column(1)), k)
             arrays, names = [batch.column(0), pa.array([len(h) for h in sets], pa.int64())], ["id", "n"]
@@ -237,7 +255,7 @@ def _filters(k: int, num: int, den: int, weight, ids):
 
 def _sets(k: int, ids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             batch = _chosen(batch, ids.value)
             sets = shingle_hashes(*word_hashes(batch.column(1)), k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in sets], pa.binary())], names=["id", "tokens"])
@@ -292,6 +310,16 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v")))
 
 
+def _few(df: DataFrame, count: int) -> DataFrame:
+    """A small table in a few tasks, so that its joins are cheap."""
+    return df.coalesce(FEW_TASKS) if count <= FEW else df
+
+
+def _between(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The links as edges between the components of their ends."""
+    return pairs.join(links, ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+
 class _Join:
     """What the steps of one join share."""
 
@@ -299,18 +327,19 @@ class _Join:
         self.texts, self.k, self.num, self.den, self.weight, self.scratch = texts, k, num, den, weight, scratch
         self.spark = texts.sparkSession
 
-    def filtered(self, pairs: DataFrame) -> DataFrame:
+    def chosen(self, pairs: DataFrame, count: int):
+        return self.spark.sparkContext.broadcast(_bit_map(_ends(pairs), 2 * count))
+
+    def filtered(self, pairs: DataFrame, count: int) -> DataFrame:
         """(a, b, ca, cb, apart): the pairs that pass all filters."""
-        ids = self.spark.sparkContext.broadcast(_bit_map(_ends(pairs)))
         kinds = ", ".join(f"f{j} binary" for j in ORDERS)
-        records = self.texts.mapInArrow(_filters(self.k, self.num, self.den, self.weight, ids), f"id long, n long, {kinds}, parity binary")
+        records = self.texts.mapInArrow(_filters(self.k, self.num, self.den, self.weight, self.chosen(pairs, count)), f"id long, n long, {kinds}, parity binary")
         side = lambda end, s: records.select(F.col("id").alias(end), F.col("n").alias(f"{s}n"), *[F.col(f"f{j}").alias(f"{s}{j}") for j in ORDERS], F.col("parity").alias(f"{s}parity"))
         return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_passes(self.num, self.den), "a long, b long, ca long, cb long, apart long")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, count: int) -> DataFrame:
         """(a, b): the pairs that reach the threshold, on their whole sets."""
-        ids = self.spark.sparkContext.broadcast(_bit_map(_ends(pairs)))
-        sets = self.texts.mapInArrow(_sets(self.k, ids), "id long, tokens binary")
+        sets = self.texts.mapInArrow(_sets(self.k, self.chosen(pairs, count)), "id long, tokens binary")
         x, y = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
         return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(self.num, self.den), "a long, b long")
 
@@ -324,8 +353,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     links with nothing and has a null component. Other columns are ignored. Empty tables give empty results.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(spark, "jaccard", docs)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     schema = "kind int, id long, n long, f1 long, f2 long, first array<long>, parity array<long>, block int, counts binary"
     profile = scratch.save(texts.mapInArrow(_profile(k), schema), "profile")
@@ -336,61 +364,73 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
 
     # 1. Equal sets: the smallest id stands for all.
     rep = full.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    classes = scratch.save(full.join(rep, ["n", "f1", "f2"]).select("id", "rep", "n", "first", *[F.get("parity", F.lit(j)).alias(f"w{j}") for j in range(PARITY_WORDS)]), "classes")
+    classes = scratch.save(full.select("id", "n", "f1", "f2").join(rep, ["n", "f1", "f2"]).select("id", "rep"), "classes")
     copies = classes.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    reps = classes.filter("id = rep")
-    words = [f"w{j}" for j in range(PARITY_WORDS)]
+    reps = classes.filter("id = rep").select("id").distinct()
 
     # 2. Hubs: a few buckets a document, one pair a member.
     join = _Join(texts, k, num, den, weight, scratch)
-    bucket = reps.select("id", "n", *words, F.posexplode("first").alias("j", "token"))
-    held = bucket.groupBy("j", "token").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = scratch.save(bucket.join(held, ["j", "token"]), "shared")
+    bucket = full.select("id", F.explode("first").alias("token")).join(reps, "id", "left_semi")
+    held = bucket.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    member = bucket.join(held, "token")
     # A document in many well-filled buckets has little of its own: a good hub.
-    central = shared.groupBy("id").agg(F.sum(F.log("c")).alias("central"))
-    order = W.partitionBy("j", "token").orderBy(F.desc("central"), F.xxhash64("id"), "id")
-    hubs = shared.select("j", "token", "id", "n", *words).join(central, "id").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= HUBS)
-    hubs = hubs.select("j", "token", F.col("id").alias("hub"), F.col("n").alias("nh"), *[F.col(w).alias(f"h{w}") for w in words])
-    near = shared.join(hubs, ["j", "token"]).filter((F.col("id") != F.col("hub")) & _in_reach("n", "nh", "w", "hw", num, den))
+    central = member.groupBy("id").agg(F.sum(F.log("c")).alias("central"), F.collect_list("token").alias("tokens"))
+    half = F.zip_with(F.slice("parity", 1, PARITY_WORDS), F.slice("parity", PARITY_WORDS + 1, PARITY_WORDS), lambda x, y: x.bitwiseXOR(y))
+    shared = scratch.save(central.join(full.select("id", "n", half.alias("parity")), "id").select("id", "n", "parity", "central", F.explode("tokens").alias("token")), "shared")
+    order = W.partitionBy("token").orderBy(F.desc("central"), F.xxhash64("id"), "id")
+    hubs = shared.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= HUBS)
+    hubs = hubs.select("token", F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("parity").alias("hparity"))
+    near = shared.join(hubs, "token").filter((F.col("id") != F.col("hub")) & _in_reach("n", "nh", "parity", "hparity", num, den))
     pairs = near.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
-    passed = scratch.save(join.filtered(scratch.save(pairs, "hubs")), "hub_passed")
-    links = scratch.save(join.verified(passed).unionByName(copies), "links1")
-    component = connected_components(links, scratch, "cc1_")
+    pairs, count = scratch.counted(pairs, "hubs")
+    passed, count = scratch.counted(join.filtered(pairs, count), "hub_passed", count)
+    component = connected_components(join.verified(passed, count).unionByName(copies), scratch, "cc1_")
 
     # 3. All that could still join two components.
-    labels = reps.select("id").distinct().join(component, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-    parities = reps.select("id", *words)
-    one = texts.mapInArrow(_postings(k, num, den, weight), "id long, n long, p0 array<long>").filter("n > 0")
-    prefixes = scratch.save(one.join(labels, "id").select("id", "n", "comp", "p0"), "prefixes")
+    labels = reps.join(component, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
+    one = texts.mapInArrow(_postings(k, num, den, weight), "id long, n long, parity array<long>, p0 array<long>").filter("n > 0")
+    prefixes = scratch.save(one.join(labels, "id").select("id", "n", "comp", "parity", "p0"), "prefixes")
     tokens = prefixes.select("comp", F.explode("p0").alias("token"))
     mixed = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    mixed = scratch.save(mixed, "mixed")
-    bits = spark.sparkContext.broadcast(_bit_map(mixed))
-    postings = prefixes.select("id", "n", "comp", "p0").mapInArrow(_hits(bits), "id long, n long, comp long, token long, earlier array<long>")
-    live = scratch.save(postings.join(mixed, "token", "left_semi").join(parities, "id"), "live")
-    largest = live.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
+    mixed, count = scratch.counted(mixed, "mixed")
+    bits = spark.sparkContext.broadcast(_bit_map(mixed, count))
+    postings = prefixes.mapInArrow(_hits(bits), "id long, n long, comp long, parity array<long>, token long, earlier array<long>").withColumn("n", F.col("n").cast("int"))
+    live = scratch.save(postings, "live")
+    scratch.drop("prefixes", "mixed")
+    # What the bit map let through beside the mixed tokens has one component and goes here.
+    counts = live.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token")
+    largest = counts.agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
     live = live.join(largest, "token")
-    left = live.filter("comp <> top").select("token", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("comp").alias("ci"), F.col("earlier").alias("ei"), *[F.col(w).alias(f"l{w}") for w in words])
-    right = live.select("token", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("comp").alias("cj"), F.col("earlier").alias("ej"), (F.col("comp") == F.col("top")).alias("dominant"), *[F.col(w).alias(f"r{w}") for w in words])
+    left = live.filter("comp <> top").select("token", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("comp").alias("ci"), F.col("parity").alias("pi"), F.col("earlier").alias("ei"))
+    right = live.select("token", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("comp").alias("cj"), F.col("parity").alias("pj"), F.col("earlier").alias("ej"), (F.col("comp") == F.col("top")).alias("dominant"))
     # A pair that shares several tokens is made at the first of them, as far as the postings remember.
-    fits = (F.col("ci") != F.col("cj")) & (F.col("dominant") | (F.col("i") < F.col("j"))) & _in_reach("ni", "nj", "lw", "rw", num, den) & ~F.arrays_overlap("ei", "ej")
+    fits = (F.col("ci") != F.col("cj")) & ~F.arrays_overlap("ei", "ej") & (F.col("dominant") | (F.col("i") < F.col("j"))) & _in_reach("ni", "nj", "pi", "pj", num, den)
     found = left.join(right, (left["token"] == right["token"]) & fits)
     swap = F.col("i") > F.col("j")
     end = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     found = found.select(end("i", "j").alias("a"), end("j", "i").alias("b"), end("ci", "cj").alias("ca"), end("cj", "ci").alias("cb"))
-    pairs = scratch.save(found.distinct(), "pairs")
-    scratch.drop("prefixes", "live", "mixed", "shared")
-    passed = scratch.save(join.filtered(pairs), "passed")
-    # Of the pairs that would join the same two components the closest goes first; what it joins, the others need not.
-    both = [F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")]
-    best = passed.groupBy(*both).agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
-    links = join.verified(scratch.save(best, "best")).unionByName(component.select(F.col("id").alias("a"), F.col("component").alias("b")))
-    component = connected_components(scratch.save(links, "links2"), scratch, "cc2_")
-    now = component.select(F.col("id").alias("v"), "component")
-    rest = passed.join(now.withColumnsRenamed({"v": "a", "component": "xa"}), "a", "left").join(now.withColumnsRenamed({"v": "b", "component": "xb"}), "b", "left")
-    rest = rest.filter(F.coalesce("xa", "a") != F.coalesce("xb", "b")).select("a", "b").join(best.withColumn("done", F.lit(True)), ["a", "b"], "left_anti")
-    links = join.verified(scratch.save(rest, "rest")).unionByName(component.select(F.col("id").alias("a"), F.col("component").alias("b")))
-    final = connected_components(scratch.save(links, "links3"), scratch, "cc3_")
-    scratch.drop("passed", "pairs", "links1", "links2", "links3", "best", "rest", "hubs", "hub_passed")
+    wide = full.select("id", "n", "parity")
+    side = lambda end, s: wide.select(F.col("id").alias(end), F.col("n").alias(f"n{s}"), F.col("parity").alias(f"p{s}"))
+    near = found.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").filter(_in_reach("nx", "ny", "px", "py", num, den, WIDE_WORDS))
+    pairs, count = scratch.counted(near.select("a", "b", "ca", "cb"), "pairs")
+    passed, count = scratch.counted(join.filtered(pairs, count), "passed", count)
+    scratch.drop("live", "shared", "hubs", "hub_passed", "pairs")
+    # Components are merged by links between them, in a graph whose nodes are the components so far. Of the pairs that would join
+    # the same two the closest goes first; what it joins, the others need not.
+    closest = F.min_by(F.struct("a", "b", "ca", "cb"), F.struct("apart", "a", "b")).alias("p")
+    best, n_best = scratch.counted(_few(passed, count).groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(closest).select("p.*"), "best", count)
+    joined = scratch.save(join.verified(best, n_best), "joined", n_best)
+    merged = connected_components(_between(best, joined), scratch, "cc2_")
+    now = _few(merged, n_best).select(F.col("id").alias("v"), "component")
+    rest = _few(passed, count).join(now.withColumnsRenamed({"v": "ca", "component": "xa"}), "ca", "left").join(now.withColumnsRenamed({"v": "cb", "component": "xb"}), "cb", "left")
+    rest = rest.filter(F.coalesce("xa", "ca") != F.coalesce("xb", "cb")).join(_few(best, n_best), ["a", "b"], "left_anti").select("a", "b", "ca", "cb")
+    rest, count = scratch.counted(rest, "rest", count)
+    if count:
+        more = scratch.save(join.verified(rest, count), "more", count)
+        merged = connected_components(_between(best, joined).unionByName(_between(rest, more)), scratch, "cc3_")
+    final = component.join(merged.select(F.col("id").alias("component"), F.col("component").alias("m")), "component", "left").select("id", F.coalesce("m", "component").alias("component"))
+    # A component of one document has no row of its own so far.
+    final = final.unionByName(merged.join(component, "id", "left_anti"))
+    scratch.drop("passed", "best", "rest", "joined", "more")
     out = rows.select("id", F.col("n").alias("n_shingles")).join(final, "id", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    return scratch.bounded(out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id")))

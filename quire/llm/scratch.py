@@ -4,16 +4,46 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in tests.
+BATCH_ROWS = 256
+PART_BYTES = 16 << 20
+#: Tables of so few rows are worked on in FEW_TASKS tasks.
+FEW, FEW_TASKS = 200_000, 6
+#: Used only where the session names no checkpoint folder and all runs in one process, as in tests.
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, else a folder of our own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
+    """The session's spark.checkpoint.dir; without one a local session gets a folder of our own, and a cluster an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return LOCAL_FALLBACK
+    raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, texts go to Python workers BATCH_ROWS at a time, which bounds what the JVM holds outside its heap; then all is as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def tasks_for(source: DataFrame) -> int:
+    """A task for each PART_BYTES that the planner expects of a source, and two a core at least."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(1_000_000, max(2 * source.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
 
 
 class Scratch:
@@ -23,16 +53,30 @@ class Scratch:
     tables that are no longer read; what a caller's lazy result still reads goes when the driver ends.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, source: DataFrame | None = None):
+        """source: what the tables are derived from. A table gets a file for each PART_BYTES of it, so that a small source doesn't end in many small files."""
         self.spark = spark
+        self.most = None if source is None else tasks_for(source)
         self.root = f"{checkpoint_root(spark).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
         atexit.register(self.clear)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """rows: about how many it can have, if known; FEW of them make FEW_TASKS files at most."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with small_batches(self.spark):
+            df = df.coalesce(FEW_TASKS) if rows is not None and rows <= FEW else self.bounded(df)
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bounded(self, df: DataFrame) -> DataFrame:
+        """df in no more tasks than its source is worth."""
+        return df if self.most is None else df.coalesce(self.most)
+
+    def counted(self, df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, int]:
+        """The saved table and how many rows it has."""
+        saved = self.save(df, name, rows)
+        return saved, saved.count()
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(f"{self.root}/{name}")

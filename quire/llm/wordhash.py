@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -23,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     got = _POWERS.get(base)
     if got is None or len(got) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
@@ -35,6 +38,16 @@ def _powers(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows and about so many bytes of one column of texts; a longer text is a part alone."""
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64))])
+    a, n = 0, len(batch)
+    while a < n:
+        b = min(n, a + rows, max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a binary or string array, and where each row begins (null: empty)."""
     texts = texts.cast(pa.large_binary())
@@ -81,9 +94,9 @@ def _hashed(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarr
     last[edges - 1] = ink[edges - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     code = _CODE[_LOWER[raw] if lower else raw]
-    code *= _powers(_BASE, n)
+    code *= powers(_BASE, n)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code, dtype=np.uint64)])
-    h = (total[end] - total[start]) * _powers(_INVERSE, n)[start]
+    h = (total[end] - total[start]) * powers(_INVERSE, n)[start]
     h = mix(h ^ mix((end - start).astype(np.uint64)))
     return h, np.searchsorted(start, offsets)
 
