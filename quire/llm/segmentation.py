@@ -26,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.wordhash import mix
+from quire.llm.wordhash import mix, powers, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
-BATCH_ROWS = 256
-#: Regions whose mass is below this share of the best one's can't win: uniform numbers have 53 bits.
-DEPTH = 45.0
+#: Texts are worked on so many rows and about so many bytes at a time.
+BATCH_ROWS, BATCH_BYTES = 512, 1 << 20
+#: Regions whose log-mass is by so much below a value can't reach it: uniform numbers have 53 bits.
+DEPTH = 38.0
+#: Steps of a path whose regions are all worked out.
+NEAR = 128
 _U = np.uint64
 _MARK = 0x2581
 _PAIRS = 1 << 22
@@ -138,32 +141,43 @@ class Lattice:
             single[at[0]] = True
         lone = np.flatnonzero(~single)
         at.append(lone), size.append(np.ones(len(lone), np.int32)), piece.append(np.full(len(lone), -1, np.int32))
-        at, size, piece = np.concatenate(at), np.concatenate(size), np.concatenate(piece)
-        order = np.argsort(at, kind="stable")
-        self.at, self.size, self.piece = at[order], size[order], piece[order]
-        self.ptr = np.searchsorted(self.at, np.arange(n + 1))
-        width = np.where(chars[self.at] < 0x80, 1, np.where(chars[self.at] < 0x800, 2, np.where(chars[self.at] < 0x10000, 3, 4)))
-        logp = np.where(self.piece >= 0, vocabulary.logp[self.piece], vocabulary.least * width)
-        # Log-sums over all ways to the end of the chunk, from its end backwards, all chunks at once.
+        # Edges by place, shorter ones first; each round above has a place once, so no sort is needed.
+        count = np.zeros(n, np.int32)
+        for x in at:
+            count[x] += 1
+        self.ptr = np.concatenate([[0], np.cumsum(count)])
+        total = int(self.ptr[-1])
+        self.at = np.repeat(np.arange(n, dtype=np.int32), count)
+        self.size, self.piece = np.empty(total, np.int32), np.empty(total, np.int32)
+        free = self.ptr[:-1].copy()
+        for x, length, p in zip(at, size, piece, strict=True):
+            slot = free[x]
+            self.size[slot], self.piece[slot] = length, p
+            free[x] = slot + 1
+        logp = vocabulary.logp[self.piece]
+        other = np.flatnonzero(self.piece < 0)
+        c = chars[self.at[other]]
+        logp[other] = vocabulary.least * np.where(c < 0x80, 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4)))
+        # Log-sums over all ways to the end of the chunk, from its end backwards, all chunks at once; n stands for an end.
         rest = np.zeros(n + 1)
+        to = self.at + self.size
+        to[to == ends[self.at]] = n
         left = ends - np.arange(n)
-        by_left = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[by_left], np.arange(1, int(left.max(initial=0)) + 2))
-        is_end = np.zeros(n + 1, bool)
-        is_end[ends] = True
-        tail = lambda e: np.where(self.at[e] + self.size[e] == ends[self.at[e]], 0.0, rest[np.minimum(self.at[e] + self.size[e], n)])
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            where = by_left[a:b]
-            if not len(where):
+        left = left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left
+        by_left, edges = np.argsort(left, kind="stable"), np.argsort(left[self.at], kind="stable")
+        levels = np.arange(1, int(left.max(initial=0)) + 2)
+        bounds = np.searchsorted(left[by_left], levels).tolist()
+        begin = np.concatenate([[0], np.cumsum(count[by_left])])
+        own, after = logp[edges], to[edges]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if a == b:
                 continue
-            count = self.ptr[where + 1] - self.ptr[where]
-            begin = np.concatenate([[0], np.cumsum(count)[:-1]])
-            e = np.repeat(self.ptr[where] - begin, count) + np.arange(int(count.sum()))
-            v = logp[e] + tail(e)
-            top = np.maximum.reduceat(v, begin)
-            rest[where] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, count)), begin))
-        every = np.arange(len(self.at))
-        self.logc = logp + tail(every) - rest[self.at]
+            e = slice(int(begin[a]), int(begin[b]))
+            v = own[e] + rest[after[e]]
+            starts = begin[a:b] - begin[a]
+            top = np.maximum.reduceat(v, starts)
+            rest[by_left[a:b]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, count[by_left[a:b]])), starts))
+        self.logc = logp + rest[to] - rest[self.at]
         self.choices = np.diff(self.ptr)
         p = np.exp(self.logc)
         self.cum = np.concatenate([[0.0], np.cumsum(p)])
@@ -219,12 +233,7 @@ class Batch:
         self.begin = np.flatnonzero(cut)
         end = np.append(self.begin[1:], n)
         # Equal chunks are found by hash, and share their characters' places in the lattice.
-        power = np.full(n, _U(0x2545F4914F6CDD1D))
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        inverse = np.full(n, _U(pow(0x2545F4914F6CDD1D, -1, 1 << 64)))
-        inverse[0] = 1
-        inverse = np.multiply.accumulate(inverse)
+        power, inverse = powers(0x2545F4914F6CDD1D, n), powers(pow(0x2545F4914F6CDD1D, -1, 1 << 64), n)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(chars.astype(np.uint64) + _U(7)) * power, dtype=np.uint64)])
         h = mix((total[end] - total[self.begin]) * inverse[self.begin] + (end - self.begin).astype(np.uint64))
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
@@ -259,146 +268,210 @@ class Batch:
 
     def sample(self, k: int):
         """For each text its paths: (edges, log-probability, perturbed value, inclusion probability), best first."""
-        docs = len(self.keys)
-        out: list[list] = [[] for _ in range(docs)]
+        out: list[list] = [[] for _ in range(len(self.keys))]
+        for docs, path, logp, value, score in self.rounds(k):
+            for d, lp, g, q in zip(docs.tolist(), logp.tolist(), value.tolist(), score.tolist(), strict=True):
+                out[d].append([path[int(self.start[d]) : int(self.start[d + 1])], lp, g, q])
+        return out
+
+    def rounds(self, k: int) -> list[tuple[np.ndarray, ...]]:
+        """Each text's first path, second path and so on: (texts that have one, edges of all texts, log-probabilities, perturbed values, inclusion probabilities)."""
         n = len(self.chars)
         if not n:
-            return out
-        lattice = self.lattice
-        root = uniform(self.keys, 1 << 20, np.zeros(docs, np.int64))
-        agenda: list[list] = [[] for _ in range(docs)]
-        paths: list[np.ndarray] = []
+            return []
+        lattice, total = self.lattice, len(self.keys)
+        agenda: list[list] = [[] for _ in range(total)]
         path = np.full(n, -1, np.int32)
         self.walk(path, self.begin, self.home, self.end, self.doc, 0)
-        paths.append(path)
-        live = [(d, 0, -math.log(-math.log(root[d])), int(self.start[d]), 0.0) for d in range(docs) if self.start[d + 1] > self.start[d]]
+        live = np.flatnonzero(np.diff(self.start) > 0)
+        value = -np.log(-np.log(uniform(self.keys[live], 1 << 20, np.zeros(len(live), np.int64))))
+        own, before = self.start[live], np.zeros(len(live))  # where a path's own steps begin, and its log-probability up to there
+        found: list[tuple] = []
         for r in range(k):
-            # live: (text, path's number, value, where its own steps begin, log-probability up to there).
-            for d, p, g, own, before in live:
-                b = int(self.start[d + 1])
-                steps = np.flatnonzero(paths[p][own:b] >= 0) + own
-                edges = paths[p][steps]
-                logc = lattice.logc[edges]
-                upto = before + np.cumsum(logc)
-                out[d].append([p, float(upto[-1]) if len(upto) else before, g])
-                free = np.flatnonzero(lattice.choices[lattice.at[edges]] > 1)
-                if not len(free):
-                    continue
-                run = (upto - logc)[free]
-                mass = run + np.log(np.maximum(-np.expm1(np.minimum(logc[free], 0.0)), 1e-18))
-                near = np.flatnonzero(mass >= mass.max() - DEPTH)
-                where = steps[free[near]]
-                values = _below(mass[near], g, uniform(self.keys[d], (1 << 21) + r, where - self.start[d]))
-                # Of one path's regions no more can be taken off than paths are wanted, and one gives the bar.
-                top = np.argpartition(-values, k - r)[: k - r + 1] if len(values) > k - r + 1 else np.arange(len(values))
-                for i in top.tolist():
-                    heapq.heappush(agenda[d], (-float(values[i]), r, int(where[i]), p, (int(edges[free[near[i]]]),), float(run[near[i]])))
+            found.append((live, path, self._regions(agenda, path, live, own, before, value, r, k), value))
             if r + 1 == k:
                 break
-            path = np.full(n, -1, np.int32)
-            todo, live = [], []
-            for d in range(docs):
-                if not agenda[d] or len(out[d]) != r + 1:
-                    continue
-                g, _, s, p, gone, run = heapq.heappop(agenda[d])
-                a, b = int(self.start[d]), int(self.start[d + 1])
+            # The best region of each text is taken off; what remains of it goes back.
+            taken = [(d, heapq.heappop(agenda[d])) for d in live.tolist() if agenda[d]]
+            if not taken:
+                break
+            live = np.array([d for d, _ in taken])
+            begin, at = self.start[live], np.array([t[2] for _, t in taken])
+            pick, rest = (uniform(self.keys[live], x + r, at - begin).tolist() for x in (1 << 22, 1 << 23))
+            path, edge, before = np.full(n, -1, np.int32), [], []
+            for (d, (g, _, s, p, gone, run)), a, u, v in zip(taken, begin.tolist(), pick, rest, strict=True):
                 where = int(lattice.at[gone[0]])
-                edges = [e for e in range(int(lattice.ptr[where]), int(lattice.ptr[where + 1])) if e not in gone]
-                weight = np.exp(lattice.logc[edges])
-                u = uniform(self.keys[d : d + 1], (1 << 22) + r, np.array([s - a]))[0]
-                i = min(int(np.searchsorted(np.cumsum(weight), u * weight.sum(), side="right")), len(edges) - 1)
-                e = edges[i]
+                first = int(lattice.ptr[where])
+                edges = [(first + i, x) for i, x in enumerate(lattice.logc[first : int(lattice.ptr[where + 1])].tolist()) if first + i not in gone]
+                weight = [math.exp(x) for _, x in edges]
+                i, left = 0, u * sum(weight)
+                while i + 1 < len(edges) and left >= weight[i]:
+                    left -= weight[i]
+                    i += 1
+                e, x = edges[i]
                 if len(edges) > 1:
-                    mass = run + math.log(float(np.delete(weight, i).sum()))
-                    u = float(uniform(self.keys[d : d + 1], (1 << 23) + r, np.array([s - a]))[0])
-                    heapq.heappush(agenda[d], (-float(_below(mass, -g, u)), r, s, p, (*gone, e), run))
-                path[a:s] = paths[p][a:s]
+                    mass = run + math.log(sum(weight[:i]) + sum(weight[i + 1 :]))
+                    heapq.heappush(agenda[d], (-float(_below(mass, -g, v)), r, s, p, (*gone, e), run))
+                path[a:s] = found[p][1][a:s]
                 path[s] = e
-                after = s + int(lattice.size[e])
-                live.append((d, len(paths), -g, after, run + float(lattice.logc[e])))
-                todo.append((d, after, b))
-            self._finish(path, todo, r + 1)
-            paths.append(path)
-        for d in range(docs):
-            bar = -agenda[d][0][0] if agenda[d] else -math.inf
-            for x in out[d]:
-                score = 1.0 if bar == -math.inf else -math.expm1(-math.exp(min(700.0, x[1] - bar)))
-                a, b = int(self.start[d]), int(self.start[d + 1])
-                x[:] = [paths[x[0]][a:b], x[1], x[2], score]
+                edge.append(e), before.append(run + x)
+            value, before = np.array([-t[0] for _, t in taken]), np.array(before)
+            own = at + lattice.size[np.array(edge)]
+            self._finish(path, live, own, r + 1)
+        out = []
+        bars = np.array([-h[0][0] if h else -math.inf for h in agenda])
+        for docs, edges, logp, g in found:
+            bar = bars[docs]
+            with np.errstate(over="ignore"):
+                score = np.where(np.isneginf(bar), 1.0, -np.expm1(-np.exp(np.minimum(700.0, logp - np.where(np.isneginf(bar), 0.0, bar)))))
+            out.append((docs, edges, logp, g, score))
         return out
 
-    def _finish(self, path: np.ndarray, todo: list[tuple[int, int, int]], stream: int) -> None:
+    def _regions(self, agenda: list[list], path: np.ndarray, docs: np.ndarray, own: np.ndarray, before: np.ndarray, value: np.ndarray, r: int, k: int) -> np.ndarray:
+        """Puts the regions cut off along each text's path on its agenda and returns the paths' log-probabilities.
+
+        A region at log-mass m has a value of at most m - log(1 - u). So beyond the first NEAR steps only those are worked
+        out whose u is so near 1 that they could still be among the best; what lies deeper than DEPTH can't, as u has 53 bits.
+        """
+        lattice = self.lattice
+        steps = np.flatnonzero(path >= 0)
+        logc = lattice.logc[path[steps]]
+        lo, hi = np.searchsorted(steps, own), np.searchsorted(steps, self.start[docs + 1])
+        logp = before.copy()
+        some = np.flatnonzero(hi > lo)
+        if not len(some):
+            return logp
+        logp[some] += np.add.reduceat(np.append(logc, 0.0), np.stack([lo[some], hi[some]], 1).ravel())[::2]
+        most = k - r + 1  # of one path's regions no more can be taken off than paths are wanted, and one gives the bar
+
+        def push(t: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+            """Regions of the first steps of some texts; the value that a further one must beat and the prefix's log-probability there."""
+            column = lo[t, None] + np.arange(width)
+            inside = column < hi[t, None]
+            column = np.where(inside, column, lo[t, None])
+            c = np.where(inside, logc[column], 0.0)
+            upto = before[t, None] + np.cumsum(c, axis=1)
+            edges = path[steps[column]]
+            row, col = np.nonzero(inside & (lattice.choices[lattice.at[edges]] > 1))
+            run, c = (upto - c)[row, col], c[row, col]
+            where, d = steps[column[row, col]], docs[t[row]]
+            mass = run + np.log(np.maximum(-np.expm1(np.minimum(c, 0.0)), 1e-18))
+            g = _below(mass, value[t[row]], uniform(self.keys[d], (1 << 21) + r, where - self.start[d]))
+            order = np.lexsort((col, -g, row))
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            order = order[nth < most]
+            for i, x in zip(order.tolist(), d[order].tolist(), strict=True):
+                heapq.heappush(agenda[x], (-float(g[i]), r, int(where[i]), r, (int(edges[row[i], col[i]]),), float(run[i])))
+            least = np.full(len(t), -np.inf)
+            last = order[nth[nth < most] == most - 1]
+            least[row[last]] = g[last]
+            return least, upto[:, -1]
+
+        least, end = push(some, NEAR)
+        far = np.flatnonzero((hi - lo)[some] > NEAR)
+        if len(far):
+            t, least, end = some[far], least[far], end[far]
+            count = hi[t] - lo[t] - NEAR
+            edge = np.concatenate([[0], np.cumsum(count)])
+            one = np.repeat(np.arange(len(t)), count)
+            column = np.repeat(lo[t] + NEAR - edge[:-1], count) + np.arange(int(edge[-1]))
+            upto = np.cumsum(logc[column])
+            run = upto - logc[column] - np.repeat(np.concatenate([[0.0], upto[edge[1:-1] - 1]]) - end, count)
+            near = np.flatnonzero(run >= np.where(np.isneginf(least), -np.inf, least - DEPTH)[one])
+            one, column, run = one[near], column[near], run[near]
+            d = docs[t[one]]
+            u = uniform(self.keys[d], (1 << 21) + r, steps[column] - self.start[d])
+            hit = np.unique(one[np.log1p(-u) < run - least[one] + 1e-6])
+            if len(hit):  # rare: such a text's regions are worked out over all its steps
+                for x in docs[t[hit]].tolist():
+                    agenda[x] = [a for a in agenda[x] if a[1] != r]
+                    heapq.heapify(agenda[x])
+                for i in hit.tolist():
+                    push(t[i : i + 1], int(hi[t[i]] - lo[t[i]]))
+        return logp
+
+    def _finish(self, path: np.ndarray, docs: np.ndarray, after: np.ndarray, stream: int) -> None:
         """Completes each text from a character on."""
-        ats, places, ends, docs = [], [], [], []
-        for d, after, b in todo:
-            if after >= b:
-                continue
-            c = int(np.searchsorted(self.begin, after, side="right")) - 1
-            last = int(np.searchsorted(self.begin, b))
-            at = self.begin[c:last].copy()
-            place = self.home[c:last].copy()
-            place[0] += after - at[0]
-            at[0] = after
-            ats.append(at), places.append(place), ends.append(self.end[c:last]), docs.append(np.full(last - c, d))
-        if ats:
-            self.walk(path, np.concatenate(ats), np.concatenate(places), np.concatenate(ends), np.concatenate(docs), stream)
-
-    def ids(self, d: int, edges: np.ndarray) -> np.ndarray:
-        """The piece numbers of a path; characters without a piece become those of their bytes."""
-        at = np.flatnonzero(edges >= 0)
-        got = self.lattice.piece[edges[at]]
+        last = self.start[docs + 1]
+        docs, after, last = docs[after < last], after[after < last], last[after < last]
+        if not len(docs):
+            return
+        c, stop = np.searchsorted(self.begin, after, side="right") - 1, np.searchsorted(self.begin, last)
+        edge = np.concatenate([[0], np.cumsum(stop - c)])
+        chunk = np.repeat(c - edge[:-1], stop - c) + np.arange(int(edge[-1]))
+        at, place = self.begin[chunk], self.home[chunk]
+        place[edge[:-1]] += after - at[edge[:-1]]
+        at[edge[:-1]] = after
+        self.walk(path, at, place, self.end[chunk], np.repeat(docs, stop - c), stream)
+
+    def pieces(self, path: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece numbers of the texts' paths one after another, and where each text's begin; characters without a piece become those of their bytes."""
+        at = np.flatnonzero(path >= 0)
+        got = self.lattice.piece[path[at]]
+        size = np.ones(len(at), np.int64)
         lone = np.flatnonzero(got < 0)
-        if not len(lone):
-            return got
-        chars = self.chars[int(self.start[d]) + at[lone]]
-        if (chars < 0x80).all():
-            got = got.copy()
-            got[lone] = self.vocabulary.byte_id[chars]
-            return got
-        parts, last = [], 0
-        for i, c in zip(lone.tolist(), chars.tolist(), strict=True):
-            parts += [got[last:i], self.vocabulary.byte_id[list(chr(c).encode("utf-8", "replace"))]]
-            last = i + 1
-        return np.concatenate([*parts, got[last:]])
-
-
-def _encoder(shared, k: int):
+        c = self.chars[at[lone]]
+        size[lone] = np.where(c < 0x80, 1, np.where(c < 0x800, 2, np.where((c < 0x10000) & ((c < 0xD800) | (c > 0xDFFF)), 3, np.where(c < 0x10000, 1, 4))))
+        begin = np.concatenate([[0], np.cumsum(size)])
+        if len(lone):
+            raw = np.frombuffer("".join(map(chr, c.tolist())).encode("utf-8", "replace"), np.uint8)
+            out = np.repeat(got, size)
+            out[out < 0] = self.vocabulary.byte_id[raw]
+            got = out
+        return got, begin[np.searchsorted(at, np.append(self.start[docs], self.start[-1]))]
+
+
+def _encoder(shared, k: int, number_copies: bool):
+    names = ["id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids"]
+
+    def encoded(ids: pa.Array, texts: list[str], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        made = Batch(shared.value, texts, keys)
+        for r, (docs, path, logp, value, score) in enumerate(made.rounds(k)):
+            found, at = made.pieces(path, docs)
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(docs)), pa.array(np.full(len(docs), r + 1, np.int32)), pa.array(np.diff(at)), pa.array(logp), pa.array(value), pa.array(score), lists], names=names)
+        none = np.flatnonzero([not t for t in texts])
+        if len(none):
+            zero, one = pa.array(np.zeros(len(none))), pa.array(np.ones(len(none)))
+            lists = pa.ListArray.from_arrays(pa.array(np.zeros(len(none) + 1, np.int32)), pa.array([], pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(none)), pa.array(np.ones(len(none), np.int32)), pa.array(np.zeros(len(none), np.int64)), zero, zero, one, lists], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        for batch in batches:
-            ids = batch.column(0)
-            keys = mix(np.asarray(batch.column(1)).astype(np.int64).view(np.uint64))
-            made = Batch(vocabulary, [t or "" for t in batch.column(2).to_pylist()], keys)
-            row, number, logp, value, score, pieces = [], [], [], [], [], []
-            for d, found in enumerate(made.sample(k)):
-                for j, (edges, lp, g, q) in enumerate(found or [(None, 0.0, 0.0, 1.0)]):
-                    row.append(d), number.append(j + 1), logp.append(lp), value.append(g), score.append(q)
-                    pieces.append(made.ids(d, edges) if edges is not None else np.zeros(0, np.int32))
-            at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(pieces).astype(np.int32) if pieces else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(np.diff(at).astype(np.int64)), pa.array(logp, pa.float64()), pa.array(value, pa.float64()), pa.array(score, pa.float64()), lists],
-                names=["id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids"],
-            )
+        last, copy = None, 0
+        for whole in batches:
+            for batch in slices(whole, 2, BATCH_ROWS, BATCH_BYTES):
+                keys = mix(np.asarray(batch.column(1)).astype(np.int64).view(np.uint64))
+                texts = [t or "" for t in batch.column(2).to_pylist()]
+                if number_copies:
+                    copies = []
+                    for key, t in zip(keys.tolist(), texts, strict=True):
+                        copy = copy + 1 if last == (key, t) else 0
+                        last = (key, t)
+                        copies.append(copy)
+                    copies = np.array(copies, np.uint64)
+                    keys = np.where(copies > 0, mix(keys ^ mix(copies)), keys)
+                yield from encoded(batch.column(0), texts, keys)
 
     return run
 
 
-def sample_segmentations(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample_segmentations(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", number_copies: bool = False) -> DataFrame:
     """(id_col, sample, n_pieces, log_prob, perturbed, inclusion, ids): up to k different segmentations of every row's text.
 
     sample counts from 1 in order of the perturbed value. A text with fewer segmentations gives all it has. A null or empty text
     has one, without pieces. inclusion is the probability that a segmentation is among those found, given the next perturbed
     value; 1 if there is no next. As in the library, a space stands before the text and a literal U+2581 counts as one. Rows that share id
-    and text get the same segmentations; a null id is a key like another. Other columns are ignored. No shuffle.
+    and text get the same segmentations; with number_copies those that follow one another, as copies that explode() made do, get each
+    its own (a copy's place in that run is part of the key). A null id is a key like another. Other columns are ignored. No shuffle.
+
+    Texts are worked on BATCH_BYTES at a time; a longer one is taken alone, and takes about 150 bytes of memory a character.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     shared = spark.sparkContext.broadcast(load(model))  # the vocabulary's size, whatever the input
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("key"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids array<int>"
-    return rows.mapInArrow(_encoder(shared, k), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_encoder(shared, k, number_copies), schema).withColumnRenamed("id", id_col)
 
 
 def _decoder(path: str, content: bytes):
