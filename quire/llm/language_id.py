@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.wordhash import buffers
+from quire.llm.wordhash import buffers, slices
 
 PROFILE = 400
 #: Profiles are fitted on at most this many documents a language, those with the smallest hash of their id.
 SAMPLE_PER_LANGUAGE = 600
+#: Up to so many languages the sample's ids are broadcast.
+MOST_LANGUAGES = 500
 BATCH_ROWS = 1024
 UNKNOWN = "und"
 
@@ -83,7 +85,7 @@ def _has_letter(raw: np.ndarray) -> bool:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n): one row a language and n-gram of a batch."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1, BATCH_ROWS)):
         raw, at = buffers(batch.column(1))
         langs = batch.column(0).to_pylist()
         for lang in sorted(set(langs)):
@@ -96,9 +98,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_profiles(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out: F.Column, most: int = PROFILE, sample: int = SAMPLE_PER_LANGUAGE) -> dict[str, list[int]]:
     """The ranked n-grams of each language; most x languages numbers reach the driver."""
     known = docs.filter(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    order = W.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    chosen = known.select(id_col, lang_col).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample).select(id_col).distinct()
-    texts = known.join(chosen, id_col, "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
+    # The smallest hashes are looked for among about four times as many rows as are wanted; a language without so many has all its rows looked at.
+    sizes = known.groupBy(F.col(lang_col).alias("__lang")).agg(F.count("*").alias("__n"))
+    n_languages = sizes.count()
+    small = F.broadcast(sizes) if n_languages <= MOST_LANGUAGES else sizes
+    near = known.select(id_col, lang_col).join(small, F.col(lang_col) == F.col("__lang"))
+    near = near.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30) <= F.lit(4.0 * sample) / F.col("__n"))
+    order = W.partitionBy(lang_col).orderBy(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)), F.xxhash64(id_col), id_col)
+    chosen = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample).select(id_col).distinct()
+    # At most sample ids a language go to all tasks, so no text is shuffled.
+    texts = known.join(F.broadcast(chosen) if n_languages <= MOST_LANGUAGES else chosen, id_col, "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
     counts = texts.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     profiles: dict[str, list[int]] = {}
@@ -127,7 +136,7 @@ def _predictor(profiles: dict[str, list[int]], most: int):
         return names[best], float(1.0 - apart[best] / (most * max(1, len(grams))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, BATCH_ROWS)):
             raw, at = buffers(batch.column(2))
             got = [one(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["id", "held_out", "lang_pred", "score"])
@@ -143,7 +152,6 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     letter, is `und` with score 0, as is every row if nothing could be learned. Ties between languages go to the first by code
     point. A row with a null id isn't held out and isn't learned from. Other columns are ignored.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
     profiles = fit_profiles(docs, id_col, text_col, lang_col, held_out, most, sample)
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).cast("binary").alias("text"))

@@ -1,9 +1,10 @@
 """Toxicity by averaged subword embeddings and a linear softmax, trained jointly in numpy.
 
-A word is the mean of the vectors of itself and its character n-grams, in hashed buckets; a passage is the mean of its
-words, and a softmax over two classes reads it. A misspelling shares most n-grams with the word it stands for. Documents are
-scored by their most toxic passage of WINDOW words (every word is in two), because an average over a long text would drown a few
-words. Training does the same: after a first epoch on whole texts, each step takes the passage that now scores highest.
+A word is the mean of the vectors of itself and its character n-grams, in hashed buckets; a bag is the mean of its words, and a
+softmax over two classes reads it. A misspelling shares most n-grams with the word it stands for. A document's bag is the worst
+SHARE of its words, LEAST words at least: an average over all words drowns a few, and a text is toxic by how many such words it
+has for its length, where one may well stand there by chance. Training does the same: after a first epoch on whole texts, each step
+takes the words that now score highest.
 
 As the softmax is linear in the mean, all that scoring needs is one number a bucket and a bias.
 """
@@ -16,16 +17,23 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from quire.llm.wordhash import slices
 
 BUCKETS = 1 << 17
 DIM = 16
-WINDOW = 32
+#: The share of a text's words that make its bag, and how many it has at least.
+SHARE, LEAST = 0.05, 6
+#: Longer texts are read in stretches of so many words, each half of the next; the worst one's bag counts.
+STRETCH = 256
 #: The classifier is fitted on at most this many labelled documents of each class, those with the smallest hash of their id,
-#: and on at most this many words of each class: where a class has more, its longest documents give only some of their passages.
+#: and on at most this many words of each class: where a class has more, its longest documents give only some of their passages of PASSAGE words.
 SAMPLE_PER_CLASS = 1200
 SAMPLE_WORDS = 800_000
+PASSAGE = 32
 #: Passes over the sample, and the fewest steps: a small sample is passed more often.
 EPOCHS, STEPS = 8, 300
 BATCH_ROWS = 512
@@ -69,12 +77,12 @@ def word_level(sizes: list[int], bound: int) -> int:
 
 
 def passages(words: list[str], most: int, seed: int) -> list[str]:
-    """At most so many words: all of a short text, else passages of WINDOW words that the seed picks, in their order."""
+    """At most so many words: all of a short text, else passages of PASSAGE words that the seed picks, in their order."""
     if len(words) <= most:
         return words
-    starts = np.arange(0, len(words), WINDOW)
-    picked = np.sort(np.random.default_rng(seed).permutation(starts)[: -(-most // WINDOW) + 1])
-    return [w for a in picked.tolist() for w in words[a : a + WINDOW]][:most]
+    starts = np.arange(0, len(words), PASSAGE)
+    picked = np.sort(np.random.default_rng(seed).permutation(starts)[: -(-most // PASSAGE) + 1])
+    return [w for a in picked.tolist() for w in words[a : a + PASSAGE]][:most]
 
 
 def sampled(rows: Iterable[tuple[str, int]], most: int, bound: int) -> tuple[list[list[str]], list[int]]:
@@ -144,7 +152,7 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str] | list[list[str]], labels: list[int], seed: int = 7, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """(one number a bucket, bias) from texts or their words: the logit of a passage is the bias and the mean over its words of the means of their buckets."""
+    """(one number a bucket, bias) from texts or their words: the logit of a bag is the bias and the mean over its words of the means of their buckets."""
     rng = np.random.default_rng(seed)
     types, docs = _Types(), []
     for t in texts:
@@ -172,19 +180,12 @@ def train(texts: list[str] | list[list[str]], labels: list[int], seed: int = 7,
         scores = word_scores() if epoch else None
         order = keep[rng.permutation(len(keep))]
         for k in range(0, len(order), 64):
-            chosen, passages = order[k : k + 64], []
-            for d in chosen:
-                words = docs[d]
-                if epoch and len(words) > WINDOW:
-                    passages.append(words[(a := best_window(scores[words])[0]) : a + WINDOW])
-                elif len(words) > 512:
-                    passages.append(rng.choice(words, 512, replace=False))
-                else:
-                    passages.append(words)
-            words = np.concatenate(passages)
+            chosen = order[k : k + 64]
+            bags = [docs[d][worst(scores[docs[d]])] if epoch else docs[d] for d in chosen]
+            words = np.concatenate(bags)
             swapped = rng.random(len(words)) < 0.25
             words = np.where(swapped, other[words], words)
-            size = np.array([len(p) for p in passages])
+            size = np.array([len(x) for x in bags])
             seen, at = np.unique(words, return_inverse=True)
             n_sub = ptr[seen + 1] - ptr[seen]
             sub = bucket[_spans(ptr[seen], n_sub)]
@@ -215,16 +216,29 @@ def train(texts: list[str] | list[list[str]], labels: list[int], seed: int = 7,
     return (E @ (Wt[:, 1] - Wt[:, 0])).astype(np.float32), float(b[1] - b[0])
 
 
-def best_window(v: np.ndarray) -> tuple[int, float]:
-    """(where the passage with the highest mean begins, its mean); passages begin every half WINDOW and the last one ends with the text."""
-    n = len(v)
-    if n <= WINDOW:
-        return 0, float(v.mean()) if n else 0.0
-    total = np.concatenate([[0.0], np.cumsum(v, dtype=np.float64)])
-    start = np.append(np.arange(0, n - WINDOW, WINDOW // 2), n - WINDOW)
-    mean = (total[start + WINDOW] - total[start]) / WINDOW
-    i = int(np.argmax(mean))
-    return int(start[i]), float(mean[i])
+def _most(n: int) -> int:
+    """How many of n words make a bag."""
+    return max(LEAST, -(-int(1000 * SHARE) * n // 1000))
+
+
+def worst(v: np.ndarray) -> np.ndarray:
+    """Which words make the bag of a text whose words have these numbers, from the one that adds least."""
+    if len(v) > STRETCH:
+        start = _starts(len(v))
+        means = np.sort(np.lib.stride_tricks.sliding_window_view(v, STRETCH)[start], axis=1)[:, -_most(STRETCH) :].mean(1)
+        a = int(start[np.argmax(means)])
+        return a + worst(v[a : a + STRETCH])
+    n = _most(len(v))
+    return np.argsort(v, kind="stable")[-n:]
+
+
+def _starts(n: int) -> np.ndarray:
+    """Where stretches begin: every half STRETCH, and the last one ends with the text."""
+    return np.append(np.arange(0, n - STRETCH, STRETCH // 2), n - STRETCH)
+
+
+def bag_mean(v: np.ndarray) -> float:
+    return float(v[worst(v)].mean())
 
 
 class _Scores(dict):
@@ -244,14 +258,16 @@ class _Scores(dict):
 
 
 def _scorer(shared, bias: float):
+    """(id, held_out, text, *others) to (id, held_out, score, predicted, *others)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Scores(np.asarray(shared.value, np.float64).tolist())
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, BATCH_ROWS)):
             out = []
             for t in batch.column(2).to_pylist():
                 v = np.array(list(map(words.__getitem__, words_of(t))), np.float64) if t else np.zeros(0)
-                out.append(float(1 / (1 + np.exp(-np.clip(best_window(v)[1] + bias, -40, 40)))) if len(v) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], names=["id", "held_out", "score", "predicted"])
+                out.append(float(1 / (1 + np.exp(-np.clip(bag_mean(v) + bias, -40, 40)))) if len(v) else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32()), *batch.columns[3:]], names=["id", "held_out", "score", "predicted", *batch.schema.names[3:]])
 
     return run
 
@@ -264,8 +280,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     and the score 0. Without labels of both classes all scores are near 0. A row with a null id isn't held out and isn't learned from.
     Other columns are ignored. Training starts from a fixed seed and a sample in a fixed order, so reruns agree.
     """
+    scored = _scored(docs, labels, id_col, text_col, label_col, sample, [])
+    return scored.withColumnRenamed("id", id_col)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """The rows of docs, with all their columns, that aren't predicted toxic: each is judged by its own text, so neither shared nor null ids matter. No shuffle of texts."""
+    carried = [F.col(c).alias(f"_{k}") for k, c in enumerate(docs.columns)]
+    kept = _scored(docs, labels, id_col, text_col, label_col, sample, carried).filter("predicted = 0")
+    return kept.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, carried: list[Column]) -> DataFrame:
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     order = [F.xxhash64(id_col), F.col(id_col)]
@@ -275,6 +302,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts, ys = sampled(((r._t, r._y) for r in rows.orderBy("_h", "_i", "_t").toLocalIterator()), sample, SAMPLE_WORDS)
     weights, bias = train(texts, ys) if texts else (np.zeros(BUCKETS, np.float32), -30.0)
     shared = spark.sparkContext.broadcast(weights)  # BUCKETS numbers, whatever the input
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("t"))
-    return out.mapInArrow(_scorer(shared, bias), f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    out = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("t"), *carried)
+    fields = [out.schema["id"], *StructType.fromDDL("held_out boolean, score double, predicted int"), *out.schema.fields[3:]]
+    return out.mapInArrow(_scorer(shared, bias), StructType(fields))
