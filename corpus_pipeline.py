@@ -6,43 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.line_dedup import dedup_lines
-from quire.llm.mixing import mix_sources
+from quire.llm.mixing import mixed_rows
 from quire.llm.ngram_jaccard import ngram_jaccard_join
 from quire.llm.scratch import Scratch
 from quire.llm.segmentation import sample_segmentations
-from quire.llm.toxicity import score_toxicity
+from quire.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for toxic go."""
-    toxic = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+    """Documents that the classifier takes for toxic go, row by row: rows that share an id, or have none, are judged each by its own text."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go, and with them a document that had nothing else."""
+    """Later repeats of runs of lines go, and with them a document that had nothing else. Rows without an id keep their text."""
     kept = dedup_lines(docs)
     empty = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return kept.filter(~F.coalesce(empty, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at Jaccard 0.8 or more stays: that with the smallest id."""
+    """One document of each group linked by five-word shingles at Jaccard 0.8 or more stays: that with the smallest id.
+
+    An id is a document: rows that share one stay or go together, and rows without one stay.
+    """
     groups = ngram_jaccard_join(docs, k=5, num=4, den=5)
     lost = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: a document stands as often as the mix repeats it."""
-    times = mix_sources(docs).filter("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_times")).distinct()
-    rows = docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return rows.select(docs.columns)
+    """What the mix takes: a row stands as often as the mix repeats it."""
+    return mixed_rows(docs).select(docs.columns)
 
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One sampled segmentation of each row, as piece numbers."""
-    return sample_segmentations(docs, k=1)
+    """Two sampled segmentations of each row, without replacement, as piece numbers; repeats of a document get their own."""
+    return sample_segmentations(docs, k=2, number_copies=True)
 
 
 STAGES = [
