@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.llm.scratch import Scratch
+
 #: Neighbouring ids that are numbered together: a first turn that most conversations share is no hot group.
 BLOCK = 256
 
@@ -78,6 +80,33 @@ def pair_conversations(rows: DataFrame, whole: bool = False) -> DataFrame:
     return both.select(best["id"].alias("chosen_id"), best["turns"].alias("chosen_turns"), other["id"].alias("rejected_id"), other["turns"].alias("rejected_turns"))
 
 
+def pair_neighbours(rows: DataFrame) -> DataFrame:
+    """(chosen_id, chosen_turns, rejected_id, rejected_turns): all conversations in pairs that have as many turns in common as such pairs can.
+
+    Conversations stand in the order of their turns' hashes, turn by turn, then of id; first with second, third with fourth. So those
+    that begin alike stand together, and what a group of an odd number leaves over meets the next group, with fewer common
+    turns or none. The one with more characters in assistant turns is chosen, the smaller id if equal. Of an odd number of
+    conversations the last is chosen, against none. Ids are taken to be unique; an empty table gives no pair.
+
+    The order is a sort by ranges that ends with the id: a first turn that most conversations share is split like any other. Only
+    hashes are sorted; a row a range goes through a window without keys.
+    """
+    scratch = Scratch(rows.sparkSession, "pairs", rows)
+    spoken = F.aggregate("turns", F.lit(0), lambda n, t: n + F.when(t["role"] == "assistant", F.length(t["text"])).otherwise(0))
+    hashes = F.transform("turns", lambda t: F.md5(F.concat_ws("\x1f", t["role"], t["text"]).cast("binary")))
+    kept = scratch.save(rows.select("conv_id", "turns", spoken.alias("spoken"), hashes.alias("key")), "rows")
+    ranged = kept.select("conv_id", "key").repartitionByRange("key", "conv_id").withColumn("part", F.spark_partition_id())
+    ranged = scratch.save(ranged, "ranged", whole=True)
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    nth = F.row_number().over(W.partitionBy("part").orderBy("key", "conv_id")) - 1
+    pairs = ranged.withColumn("nth", nth).join(offsets, "part").select("conv_id", F.floor((F.col("nth") + F.col("offset")) / 2).alias("pair"))
+    one = F.struct((-F.col("spoken")).alias("less"), F.col("conv_id").alias("id"), F.col("turns").alias("turns"))
+    both = kept.join(pairs, "conv_id").groupBy("pair").agg(F.array_sort(F.collect_list(one)).alias("p"))
+    best, other = F.get("p", F.lit(0)), F.get("p", F.lit(1))
+    return both.select(best["id"].alias("chosen_id"), best["turns"].alias("chosen_turns"), other["id"].alias("rejected_id"), other["turns"].alias("rejected_turns"))
+
+
 def format_preferences(pairs: DataFrame) -> DataFrame:
     """(chosen_id, rejected_id, n_shared, prompt, chosen, rejected, chosen_mask, rejected_mask) of every pair.
 

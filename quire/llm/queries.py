@@ -14,7 +14,7 @@ from quire.llm.mixing import mix_sources
 from quire.llm.multi_index import search
 from quire.llm.ngram_jaccard import ngram_jaccard_join
 from quire.llm.pii import find_pii
-from quire.llm.preference import conversations_as_rows, format_preferences, pair_conversations
+from quire.llm.preference import conversations_as_rows, format_preferences, pair_neighbours
 from quire.llm.segmentation import sample_segmentations
 from quire.llm.toxicity import score_toxicity
 
@@ -45,7 +45,7 @@ def op5_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(pair_conversations(conversations_as_rows(_table(spark, sf_dir, "conversations")), whole=True))
+    return format_preferences(pair_neighbours(conversations_as_rows(_table(spark, sf_dir, "conversations"))))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,11 +60,12 @@ class Scratch:
         self.root = f"{checkpoint_root(spark).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
         atexit.register(self.clear)
 
-    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        """rows: about how many it can have, if known; FEW of them make FEW_TASKS files at most."""
+    def save(self, df: DataFrame, name: str, rows: int | None = None, whole: bool = False) -> DataFrame:
+        """rows: about how many it can have, if known; FEW of them make FEW_TASKS files at most. whole: partitions stay as they are."""
         path = f"{self.root}/{name}"
         with small_batches(self.spark):
-            df = df.coalesce(FEW_TASKS) if rows is not None and rows <= FEW else self.bounded(df)
+            if not whole:
+                df = df.coalesce(FEW_TASKS) if rows is not None and rows <= FEW else self.bounded(df)
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -43,13 +43,11 @@ OP6 = r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 c AS (
   SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns,
+         list(md5(role || chr(31) || text) ORDER BY turn NULLS FIRST, role, text) AS key,
          coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS spoken
   FROM t GROUP BY 1),
-k AS (
-  SELECT *, turns[1] AS first, conv_id // 256 AS block,
-         (row_number() OVER (PARTITION BY turns[1], conv_id // 256 ORDER BY conv_id) - 1) // 2 AS pair
-  FROM c),
-p AS (SELECT list({'id': conv_id, 'turns': turns} ORDER BY spoken DESC, conv_id) AS p FROM k GROUP BY first, block, pair),
+k AS (SELECT *, (row_number() OVER (ORDER BY key, conv_id) - 1) // 2 AS pair FROM c),
+p AS (SELECT list({'id': conv_id, 'turns': turns} ORDER BY spoken DESC, conv_id) AS p FROM k GROUP BY pair),
 q AS (SELECT p[1].id AS chosen_id, p[1].turns AS ct, p[2].id AS rejected_id, p[2].turns AS rt FROM p),
 n AS (
   SELECT *, CASE WHEN rt IS NULL

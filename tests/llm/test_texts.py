@@ -180,13 +180,28 @@ def test_preferences(conversations):
 def test_preferences_pair_over_the_whole_table(spark, tmp_path):
     from quire.llm.queries import op6_preference
 
-    ids = [3, 255, 256, 600, 601, 5000, 9999]
-    said = {i: "x" * (i % 13 + 1) for i in ids}
-    rows = [(i, t, r, "hi" if r == "user" else said[i]) for i in ids for t, r in enumerate(("user", "assistant"))] + [(700, 0, "user", "alone")]
-    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    r = random.Random(5)
+    said = lambda: r.choice(["yes", "no", "well, maybe", ""])
+    talks = {i: [("user", "hi")] + [x for _ in range(r.randint(0, 3)) for x in (("assistant", said()), ("user", said()))] for i in [3, 255, 256, 600, 601, 5000, *range(10_000, 10_060)]}
+    talks |= {700: [("user", "alone"), ("assistant", "x")], 701: [("user", "another"), ("assistant", "y")], 702: [("user", "third")]}
+    rows = [(i, t, *x) for i, talk in talks.items() for t, x in enumerate(talk)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
     got = op6_preference(spark, str(tmp_path)).collect()
-    assert {frozenset((r.chosen_id, r.rejected_id)) for r in got} == {frozenset(p) for p in ((3, 255), (256, 600), (601, 5000), (9999, None), (700, None))}
-    assert all(r.n_shared == 1 and len(said[r.chosen_id]) >= len(said[r.rejected_id]) for r in got if r.rejected_id is not None)
+    key = lambda i: ([hashlib.md5(f"{role}\x1f{text}".encode()).hexdigest() for role, text in talks[i]], i)
+    order = sorted(talks, key=key)
+    spoken = lambda i: sum(len(t) for role, t in talks[i] if role == "assistant")
+    want = {tuple(sorted(order[k : k + 2], key=lambda i: (-spoken(i), i))) for k in range(0, len(order), 2)}
+    assert len(order) % 2 and {(x.chosen_id,) if x.rejected_id is None else (x.chosen_id, x.rejected_id) for x in got} == want
+    for x in got:
+        if x.rejected_id is None:
+            continue
+        a, b = talks[x.chosen_id], talks[x.rejected_id]
+        n = next((k for k, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
+        assert x.n_shared == n
+        for turns, text, mask in ((a[n:], x.chosen, x.chosen_mask), (b[n:], x.rejected, x.rejected_mask)):
+            assert text == "".join(f"<|{role}|>\n{t}<|end|>\n" for role, t in turns)
+            assert [text[int(s.split("-")[0]) : int(s.split("-")[1])] for s in mask.split(",") if s] == [t + "<|end|>" for role, t in turns if role == "assistant"]
+    assert sum(x.n_shared > 0 for x in got) >= 31
 
 
 def test_a_long_text_pushes_no_other_out():
