@@ -20,9 +20,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines go, and with them a document that had nothing else. Rows without an id keep their text."""
-    kept = dedup_lines(docs)
+    own = {c: f"__own_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    kept = dedup_lines(docs.withColumnsRenamed(own))
     empty = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return kept.filter(~F.coalesce(empty, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return kept.filter(~F.coalesce(empty, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
