@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.batches import map_arrow
 from quire.llm.scratch import Scratch
 
 #: A graph whose forests have at most so many edges is finished in one task (16 bytes an edge, about ten arrays of them).
@@ -80,9 +81,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", o
     never one task's list. Each round is written to the shared folder, so the lineage stays short.
     """
     schema = "a long, b long"
-    now, count = scratch.counted(edges.select("a", "b").filter("a <> b").mapInArrow(_forest, schema), f"{name}0")
+    now, count = scratch.counted(map_arrow(edges.select("a", "b").filter("a <> b"), _forest, schema), f"{name}0")
     if count <= one_task:
-        after = scratch.save(now.coalesce(1).mapInArrow(_forest, schema), f"{name}1")
+        after = scratch.save(map_arrow(now.coalesce(1), _forest, schema), f"{name}1")
         scratch.drop(f"{name}0")
         now = after
     else:

@@ -22,13 +22,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.batches import map_arrow
 from quire.llm.components import connected_components
 from quire.llm.scratch import Scratch
 from quire.llm.vectors import matrix, usable
 
 BLOCKS, CODE, DECODED = 4, 32, 16
 BLOCK_ROWS = 1024
-BATCH_ROWS = 4096
 
 
 def code(dim: int, seed: int = 5) -> tuple[np.ndarray, list[slice], list[np.ndarray]]:
@@ -154,7 +154,6 @@ def near_duplicate_embeddings(df: DataFrame, threshold: float = 0.98, id_col: st
     Other columns are ignored.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     scratch = Scratch(spark, "caps", df)
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     rows = usable(df, id_col, vec_col, [label.alias("label")]).filter("label is not null")
@@ -164,7 +163,7 @@ def near_duplicate_embeddings(df: DataFrame, threshold: float = 0.98, id_col: st
     member = scratch.save(keyed.join(classes, ["label", "q1", "q2"]).select("id", "rep", "w", "label", "q1", "q2"), "members")
     reps = member.filter("id = rep").select("id", "w", "label", "q1", "q2").distinct()
     found = rows.withColumns({"q1": F.xxhash64("v"), "q2": F.xxhash64(F.lit(1), "v", F.size("v"))}).join(reps, ["id", "label", "q1", "q2"]).dropDuplicates(["id", "label", "q1", "q2"])
-    decoded = found.select("id", "label", "v", "w").mapInArrow(_decoded, "id long, label string, v binary, w long, dim int, filters array<int>")
+    decoded = map_arrow(found.select("id", "label", "v", "w"), _decoded, "id long, label string, v binary, w long, dim int, filters array<int>")
     decoded = scratch.save(decoded, "decoded")
     # Which filters hold two vectors or more, and into how many blocks those with many are cut.
     posted = decoded.select("id", "label", "dim", F.explode("filters").alias("f"))
@@ -176,7 +175,7 @@ def near_duplicate_embeddings(df: DataFrame, threshold: float = 0.98, id_col: st
     full = paired.join(decoded.select("id", "label", "dim", "v", "w", "filters"), ["id", "label", "dim"])
     key = ["label", "dim", "f", "b1", "b2"]
     grouped = full.repartition(*key).sortWithinPartitions(*key).select(*key, "id", "b", "v", "w", "filters")
-    compared = scratch.save(grouped.mapInArrow(_blocks(threshold), "id long, n long, root long"), "compared")
+    compared = scratch.save(map_arrow(grouped, _blocks(threshold), "id long, n long, root long"), "compared")
     edges = compared.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     copies = member.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     component = connected_components(edges.unionByName(copies), scratch, "cc")

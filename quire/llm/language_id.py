@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.llm.batches import map_arrow
 from quire.llm.wordhash import buffers, slices
 
 PROFILE = 400
@@ -108,7 +109,7 @@ def fit_profiles(docs: DataFrame, id_col: str, text_col: str, lang_col: str, hel
     chosen = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample).select(id_col).distinct()
     # At most sample ids a language go to all tasks, so no text is shuffled.
     texts = known.join(F.broadcast(chosen) if n_languages <= MOST_LANGUAGES else chosen, id_col, "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    counts = texts.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_arrow(texts, _counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     profiles: dict[str, list[int]] = {}
     for r in sorted(counts.withColumn("r", rank).filter(F.col("r") <= most).collect(), key=lambda r: (r.lang, r.r)):
@@ -156,5 +157,5 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     profiles = fit_profiles(docs, id_col, text_col, lang_col, held_out, most, sample)
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.mapInArrow(_predictor(profiles, most), f"id {kind}, held_out boolean, lang_pred string, score double")
+    out = map_arrow(rows, _predictor(profiles, most), f"id {kind}, held_out boolean, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.llm.batches import map_arrow
 from quire.llm.scratch import Scratch
 from quire.llm.vectors import dots, matrix, usable
 
@@ -30,7 +31,6 @@ SAMPLE = 20_000
 #: A query visits cells until they hold so many vectors, and so large a share of all.
 LEAST, SHARE = 4096, 0.5
 BLOCK_ROWS, QUERY_ROWS = 8192, 2048
-BATCH_ROWS = 2048
 
 
 def fit(X: np.ndarray, k: int, seed: int = 3, rounds: int = 12) -> np.ndarray:
@@ -152,7 +152,6 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, least: int = LEAST, s
     With no rows or no queries the result is empty. Other columns are ignored.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     scratch = Scratch(spark, "multi", df)
     rows, asked = usable(df, id_col, vec_col), usable(queries, id_col, vec_col)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -164,7 +163,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, least: int = LEAST, s
     X = np.array([r.v for r in sample], float)
     a, b = halves(X, np.sqrt(np.maximum(0, longest**2 - (X**2).sum(1))))
     C1, C2 = fit(a, centroids), fit(b, centroids, seed=4)
-    assigned = rows.dropDuplicates(["id", "v"]).mapInArrow(_assigner(C1, C2, longest), "id long, cell int, v binary")
+    assigned = map_arrow(rows.dropDuplicates(["id", "v"]), _assigner(C1, C2, longest), "id long, cell int, v binary")
     cells = scratch.save(assigned, "cells")
     # An id with several vectors may take several places of a block's best.
     places = k * int(cells.groupBy("id").count().agg(F.max("count")).first()[0])
@@ -188,8 +187,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, least: int = LEAST, s
     batches = max(1, -(-asked.count() // QUERY_ROWS))
     entries = cells.join(F.broadcast(plan), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
     entries = entries.select("block", "id", "cell", "v", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
-    encoded = asked.mapInArrow(_assigner(C1, C2, longest), "id long, cell int, v binary").select("id", "v")
-    routed = encoded.mapInArrow(_router(C1, C2, counts, blocks, enough), "block int, q long, qv binary, cells binary")
+    encoded = map_arrow(asked, _assigner(C1, C2, longest), "id long, cell int, v binary").select("id", "v")
+    routed = map_arrow(encoded, _router(C1, C2, counts, blocks, enough), "block int, q long, qv binary, cells binary")
     routed = routed.withColumn("batch", F.pmod(F.xxhash64("q"), F.lit(batches)).cast("int"))
     ranked = entries.groupBy("block", "batch").cogroup(routed.groupBy("block", "batch")).applyInPandas(_ranker(places, len(counts)), "q long, id long, score double")
     best = ranked.groupBy("q", "id").agg(F.max("score").alias("score"))

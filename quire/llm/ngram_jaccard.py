@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.llm.batches import map_arrow
 from quire.llm.components import connected_components
 from quire.llm.scratch import FEW, FEW_TASKS, Scratch
 from quire.llm.wordhash import mix, shingle_hashes, slices, word_hashes
@@ -157,9 +158,9 @@ def _bit_map(values: DataFrame, count: int) -> np.ndarray:
     schema = "block int, bits binary"
     size = min(MAP_BITS[1], max(MAP_BITS[0], (16 * count).bit_length()))
     out = np.zeros((1 << size) // 8, np.uint8)
-    marked = values.mapInArrow(_marked(size), schema)
+    marked = map_arrow(values, _marked(size), schema)
     if count > FEW:
-        marked = marked.repartition(16, "block").mapInArrow(_united, schema)
+        marked = map_arrow(marked.repartition(16, "block"), _united, schema)
     for r in marked.toLocalIterator():
         out[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] |= np.frombuffer(r.bits, np.uint8)
     return out
@@ -192,7 +193,7 @@ def _hits(bits):
 def _weights(sketch: DataFrame) -> np.ndarray:
     """A class of frequency for each cell: how often the mean is doubled. 2 ** SKETCH_BITS bytes, whatever the input."""
     schema = "block int, counts binary"
-    summed = sketch.mapInArrow(_sum_blocks, schema).repartition(16, "block").mapInArrow(_sum_blocks, schema)
+    summed = map_arrow(map_arrow(sketch, _sum_blocks, schema).repartition(16, "block"), _sum_blocks, schema)
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in summed.toLocalIterator():  # 2 ** SKETCH_BITS counts in all
         out[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] += np.frombuffer(r.counts, np.int64)
@@ -333,15 +334,15 @@ class _Join:
     def filtered(self, pairs: DataFrame, count: int) -> DataFrame:
         """(a, b, ca, cb, apart): the pairs that pass all filters."""
         kinds = ", ".join(f"f{j} binary" for j in ORDERS)
-        records = self.texts.mapInArrow(_filters(self.k, self.num, self.den, self.weight, self.chosen(pairs, count)), f"id long, n long, {kinds}, parity binary")
+        records = map_arrow(self.texts, _filters(self.k, self.num, self.den, self.weight, self.chosen(pairs, count)), f"id long, n long, {kinds}, parity binary")
         side = lambda end, s: records.select(F.col("id").alias(end), F.col("n").alias(f"{s}n"), *[F.col(f"f{j}").alias(f"{s}{j}") for j in ORDERS], F.col("parity").alias(f"{s}parity"))
-        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_passes(self.num, self.den), "a long, b long, ca long, cb long, apart long")
+        return map_arrow(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b"), _passes(self.num, self.den), "a long, b long, ca long, cb long, apart long")
 
     def verified(self, pairs: DataFrame, count: int) -> DataFrame:
         """(a, b): the pairs that reach the threshold, on their whole sets."""
-        sets = self.texts.mapInArrow(_sets(self.k, self.chosen(pairs, count)), "id long, tokens binary")
+        sets = map_arrow(self.texts, _sets(self.k, self.chosen(pairs, count)), "id long, tokens binary")
         x, y = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-        return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(self.num, self.den), "a long, b long")
+        return map_arrow(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y"), _verified(self.num, self.den), "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,7 +357,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     scratch = Scratch(spark, "jaccard", docs)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     schema = "kind int, id long, n long, f1 long, f2 long, first array<long>, parity array<long>, block int, counts binary"
-    profile = scratch.save(texts.mapInArrow(_profile(k), schema), "profile")
+    profile = scratch.save(map_arrow(texts, _profile(k), schema), "profile")
     rows = profile.filter("kind = 0")
     weight = spark.sparkContext.broadcast(_weights(profile.filter("kind = 1").select("block", "counts")))
     texts = texts.filter("id is not null")
@@ -388,13 +389,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
 
     # 3. All that could still join two components.
     labels = reps.join(component, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-    one = texts.mapInArrow(_postings(k, num, den, weight), "id long, n long, parity array<long>, p0 array<long>").filter("n > 0")
+    one = map_arrow(texts, _postings(k, num, den, weight), "id long, n long, parity array<long>, p0 array<long>").filter("n > 0")
     prefixes = scratch.save(one.join(labels, "id").select("id", "n", "comp", "parity", "p0"), "prefixes")
     tokens = prefixes.select("comp", F.explode("p0").alias("token"))
     mixed = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     mixed, count = scratch.counted(mixed, "mixed")
     bits = spark.sparkContext.broadcast(_bit_map(mixed, count))
-    postings = prefixes.mapInArrow(_hits(bits), "id long, n long, comp long, parity array<long>, token long, earlier array<long>").withColumn("n", F.col("n").cast("int"))
+    postings = map_arrow(prefixes, _hits(bits), "id long, n long, comp long, parity array<long>, token long, earlier array<long>").withColumn("n", F.col("n").cast("int"))
     live = scratch.save(postings, "live")
     scratch.drop("prefixes", "mixed")
     # What the bit map let through beside the mixed tokens has one component and goes here.

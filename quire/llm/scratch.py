@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 256
 PART_BYTES = 16 << 20
 #: Tables of so few rows are worked on in FEW_TASKS tasks.
 FEW, FEW_TASKS = 200_000, 6
@@ -28,18 +25,6 @@ def checkpoint_root(spark: SparkSession) -> str:
     raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, texts go to Python workers BATCH_ROWS at a time, which bounds what the JVM holds outside its heap; then all is as before."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, BATCH_ROWS)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def tasks_for(source: DataFrame) -> int:
     """A task for each PART_BYTES that the planner expects of a source, and two a core at least."""
     size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -63,10 +48,9 @@ class Scratch:
     def save(self, df: DataFrame, name: str, rows: int | None = None, whole: bool = False) -> DataFrame:
         """rows: about how many it can have, if known; FEW of them make FEW_TASKS files at most. whole: partitions stay as they are."""
         path = f"{self.root}/{name}"
-        with small_batches(self.spark):
-            if not whole:
-                df = df.coalesce(FEW_TASKS) if rows is not None and rows <= FEW else self.bounded(df)
-            df.write.mode("overwrite").parquet(path)
+        if not whole:
+            df = df.coalesce(FEW_TASKS) if rows is not None and rows <= FEW else self.bounded(df)
+        df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def bounded(self, df: DataFrame) -> DataFrame:

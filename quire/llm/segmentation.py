@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.batches import map_arrow
 from quire.llm.wordhash import mix, powers, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -471,7 +472,7 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, model: str = MODEL,
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("key"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids array<int>"
-    return rows.mapInArrow(_encoder(shared, k, number_copies), schema).withColumnRenamed("id", id_col)
+    return map_arrow(rows, _encoder(shared, k, number_copies), schema).withColumnRenamed("id", id_col)
 
 
 def _decoder(path: str, content: bytes):
@@ -493,4 +494,4 @@ def decode_pieces(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids",
     kept = [c for c in encoded.columns if c not in (ids_col, out_col)]
     fields = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in kept)
     rows = encoded.select(*kept, ids_col)
-    return rows.mapInArrow(_decoder(model, content), f"{fields + ', ' if fields else ''}text string").withColumnRenamed("text", out_col)
+    return map_arrow(rows, _decoder(model, content), f"{fields + ', ' if fields else ''}text string").withColumnRenamed("text", out_col)

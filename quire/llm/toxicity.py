@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quire.llm.batches import map_arrow
 from quire.llm.wordhash import slices
 
 BUCKETS = 1 << 17
@@ -304,4 +305,4 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     shared = spark.sparkContext.broadcast(weights)  # BUCKETS numbers, whatever the input
     out = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("t"), *carried)
     fields = [out.schema["id"], *StructType.fromDDL("held_out boolean, score double, predicted int"), *out.schema.fields[3:]]
-    return out.mapInArrow(_scorer(shared, bias), StructType(fields))
+    return map_arrow(out, _scorer(shared, bias), StructType(fields))
