@@ -15,13 +15,13 @@ RANK = {"no_match": 0, "different_version": 1, "uncertain": 2, "same": 3}
 PAGE = ["text_hash", "normalized_text", "images", "form_fields", "annotations", "has_signature_field", "has_signed_signature", "dates", "dollars", "names", "bag"]
 
 
-def _form(fields: Column) -> Column:
-    """Names and values in order of name; of several fields of a name the last counts."""
+def form_values(fields: Column) -> Column:
+    """Names, types and values in order of name; of several fields of a name the last counts. No value isn't an empty one."""
     last = F.filter(fields, lambda f, i: ~F.exists(F.slice(fields, i + 2, F.size(fields)), lambda g: g["name"] == f["name"]))
-    return F.array_sort(F.transform(last, lambda f: F.struct(f["name"].alias("n"), F.coalesce(f["value"], F.lit("")).alias("v"))))
+    return F.array_sort(F.transform(last, lambda f: F.struct(f["name"].alias("n"), f["field_type"].alias("t"), f["value"].alias("v"))))
 
 
-def _notes(notes: Column) -> Column:
+def annotation_set(notes: Column) -> Column:
     return F.array_sort(F.array_distinct(notes))
 
 
@@ -33,7 +33,7 @@ def page_is_equal(a, b) -> Column:
     """The exact shortcut: text, images in order, form values, annotations and signatures all agree."""
     same = lambda x, y: x.eqNullSafe(y)
     return (
-        same(a["text_hash"], b["text_hash"]) & same(_bytes(a["images"]), _bytes(b["images"])) & same(_form(a["form_fields"]), _form(b["form_fields"])) & same(_notes(a["annotations"]), _notes(b["annotations"]))
+        same(a["text_hash"], b["text_hash"]) & same(_bytes(a["images"]), _bytes(b["images"])) & same(form_values(a["form_fields"]), form_values(b["form_fields"])) & same(annotation_set(a["annotations"]), annotation_set(b["annotations"]))
         & (a["has_signature_field"] == b["has_signature_field"]) & (a["has_signed_signature"] == b["has_signed_signature"])
     )
 
@@ -42,7 +42,7 @@ def page_veto(a, b) -> Column:
     """The first of VETOES that tells two pages apart; null if none does."""
     rules = [
         a["has_signature_field"] != b["has_signature_field"], a["has_signed_signature"] != b["has_signed_signature"], F.size(a["images"]) != F.size(b["images"]),
-        ~_form(a["form_fields"]).eqNullSafe(_form(b["form_fields"])), ~_notes(a["annotations"]).eqNullSafe(_notes(b["annotations"])),
+        ~form_values(a["form_fields"]).eqNullSafe(form_values(b["form_fields"])), ~annotation_set(a["annotations"]).eqNullSafe(annotation_set(b["annotations"])),
         a["dates"] != b["dates"], a["dollars"] != b["dollars"], a["names"] != b["names"],
     ]
     out = F.lit(None).cast("string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.operators.compare import PAGE, compare_pages, document_verdicts
+from quire.operators.compare import PAGE, annotation_set, compare_pages, document_verdicts, form_values
 from quire.operators.fingerprint import with_bucket
 from quire.operators.graph import components
 
@@ -24,11 +24,20 @@ def non_blank(pages: DataFrame) -> DataFrame:
 
 def signature_of_pages(pages: DataFrame) -> DataFrame:
     """(package_id, document_id, signature): equal for documents whose non-blank pages agree in all that the exact shortcut compares."""
-    one = F.struct("page_index", F.xxhash64("text_hash", "images.byte_sha256", "form_fields", "annotations", "has_signature_field", "has_signed_signature").alias("h"), "text_hash")
+    one = F.struct("page_index", F.xxhash64("text_hash", "images.byte_sha256", form_values(F.col("form_fields")), annotation_set(F.col("annotations")), "has_signature_field", "has_signed_signature").alias("h"), "text_hash")
     listed = F.array_sort(F.collect_list(one))
     return pages.filter("not is_blank").groupBy("package_id", "document_id").agg(F.sha2(F.to_json(F.transform(listed, lambda x: F.struct(x["h"], x["text_hash"]))), 256).alias("signature"))
 
 
+def blank_layout(pages: DataFrame) -> DataFrame:
+    """(package_id, document_id, blanks): equal for documents that agree with their blank pages left in, given that the others do: the same
+    number of pages, blank ones in the same places, and those equal in all that the exact shortcut compares."""
+    own = F.xxhash64("text_hash", "images.byte_sha256", form_values(F.col("form_fields")), annotation_set(F.col("annotations")), "has_signature_field", "has_signed_signature")
+    place = F.row_number().over(W.partitionBy("package_id", "document_id").orderBy("page_index"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("is_blank"), F.struct("place", "own"))))
+    return pages.withColumns({"place": place, "own": own}).groupBy("package_id", "document_id").agg(F.to_json(F.struct(F.count("*").alias("pages"), listed.alias("blank"))).alias("blanks"))
+
+
 def bucket_stats(docs: DataFrame, most: int = 50) -> DataFrame:
     """(package_id, bucket, members, pairs, capped) of buckets with two members or more."""
     n = with_bucket(docs).groupBy("package_id", "bucket").agg(F.count("*").alias("members")).filter("members > 1")
@@ -80,9 +89,9 @@ def content_groups(docs: DataFrame, pages: DataFrame, most: int = 50, same_at: f
     """
     body = non_blank(pages)
     verdicts = compared_pairs(candidate_pairs(docs, most), body, uncertain_at, same_at).checkpoint()
-    blanks = docs.select("package_id", F.col("document_id"), "blank_pages")
-    edges = verdicts.filter("verdict = 'same'").join(blanks.withColumnsRenamed({"document_id": "a_id", "blank_pages": "ba"}), ["package_id", "a_id"]).join(blanks.withColumnsRenamed({"document_id": "b_id", "blank_pages": "bb"}), ["package_id", "b_id"])
-    method = F.when((F.col("ba") > 0) | (F.col("bb") > 0), "blank_page_tolerant").when(F.col("all_hashes"), "normalized_pdf").otherwise("content_equivalent")
+    blanks = blank_layout(pages)
+    edges = verdicts.filter("verdict = 'same'").join(blanks.withColumnsRenamed({"document_id": "a_id", "blanks": "ba"}), ["package_id", "a_id"]).join(blanks.withColumnsRenamed({"document_id": "b_id", "blanks": "bb"}), ["package_id", "b_id"])
+    method = F.when(F.col("ba") != F.col("bb"), "blank_page_tolerant").when(F.col("all_hashes"), "normalized_pdf").otherwise("content_equivalent")
     edges = edges.select("package_id", "a_id", "b_id", "ia", "ib", method.alias("method"), "confidence")
     index = docs.select("package_id", F.col("document_id"), "traversal_index")
     large = oversized_groups(docs, pages, most).join(index.withColumnsRenamed({"document_id": "a_id", "traversal_index": "ia"}), ["package_id", "a_id"]).join(index.withColumnsRenamed({"document_id": "b_id", "traversal_index": "ib"}), ["package_id", "b_id"])

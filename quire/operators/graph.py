@@ -6,20 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def ensure_checkpoints(spark) -> None:
+    """Sets a checkpoint folder where there is none: the session's, else one of our own if all runs in one process; on a cluster that is an error."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(named or "file:///tmp/checkpoints")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(package_id, id, component): the smallest id that each end of (package_id, a, b) reaches within its package.
 
     Large-star and small-star rounds on aggregates and joins; every round is checkpointed in the session's checkpoint folder, so
-    neither the plan nor the lineage grows and a lost executor costs one round.
+    neither the plan nor the lineage grows and a lost executor costs one round. Rounds go on until one changes nothing; their number
+    grows with the logarithm of the longest path, and no graph is left unfinished.
     """
-    spark = edges.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+    ensure_checkpoints(edges.sparkSession)
     k = "package_id"
     now = edges.select(k, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(k, F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(k, "a").agg(F.min("b").alias("m")).select(k, "a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, [k, "a"]).select(k, F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")

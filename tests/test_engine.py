@@ -260,3 +260,66 @@ def test_queries_run(spark, name):
     from quire import catalogue
 
     assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").columns
+
+
+def test_packages_resolve_pages_of_both_sides(spark):
+    from quire.operators.alignment import page_score
+
+    base = [" ".join(words(i).split()[:40] or [f"w{i}"]) + f" filler number {i} of a page that is long enough to be more than a cover sheet or an index page of any kind at all" for i in range(8)]
+    near = base[5].replace("long enough", "long plenty")
+    fp = lambda docs: fingerprint.page_fingerprints(pages_of(spark, docs)).withColumn("file_order", F.col("document_id"))
+    old = {"X": [base[0], base[1], base[2], base[3], base[0]]}
+    new = {"X": [base[2], base[0], base[6], near, base[7], base[7] + " tail"]}
+    got = alignment.compare_packages(fp(old), fp(new)).collect()
+    assert [(r.old_page if r.old_page is not None else 10**9, r.new_page or 0) for r in got] == sorted((r.old_page if r.old_page is not None else 10**9, r.new_page or 0) for r in got)
+    assert sorted(int(r.finding_id[4:]) for r in got) == list(range(1, len(got) + 1))
+    old_seen, new_seen = [r.old_page for r in got if r.old_page is not None], [r.new_page for r in got if r.new_page is not None]
+    assert sorted(old_seen) == list(range(5)) and sorted(new_seen) == list(range(6))
+    assert all(r.confidence is not None for r in got)
+    by = {(r.old_page, r.new_page): r for r in got}
+    lone = [r for r in got if r.old_page is None or r.new_page is None]
+    assert {r.confidence for r in lone if r.category in ("Possible Missing Document", "Only in New")} <= {0.3}
+    assert any(r.category == "Likely Duplicate Removed" and r.old_page in (0, 4) for r in got) or any(r.category == "Exact Match" for r in by.values())
+    page = lambda t, veto="v", images="[]": alignment._Page(veto, str(hash(t)), t, images, False)
+    assert page_score(page("a b"), page("a b", "w")) is None and page_score(page("a b"), page("a b")) == 1.0
+    red, dark = '[{"byte_sha256":"x","perceptual_hash":0,"average_color":{"r":255.0,"g":0.0,"b":0.0}}]', '[{"byte_sha256":"y","perceptual_hash":15,"average_color":{"r":255.0,"g":0.0,"b":0.0}}]'
+    assert page_score(page("a b", images=red), page("a b", images=dark)) == 1.0 - 4 / 64
+
+
+def test_replaced_pages_of_low_likeness_are_meaningful(spark):
+    fp = lambda docs: fingerprint.page_fingerprints(pages_of(spark, docs)).withColumn("file_order", F.col("document_id"))
+    a, b, c = "one two three four " * 20, "five six seven eight " * 20, "nine ten eleven twelve " * 20
+    got = alignment.compare_packages(fp({"X": [a, b]}), fp({"X": [a, c]})).collect()
+    assert [(r.category, r.old_page, r.new_page, r.confidence) for r in got] == [("Exact Match", 0, 0, 1.0), ("Meaningful Difference", 1, 1, 0.0)]
+
+
+def test_form_fields_differ_by_type_and_by_no_value(spark):
+    from quire.operators.compare import compare_pages, page_structs
+
+    def first(field):
+        pages = fingerprint.page_fingerprints(pages_of(spark, {"D": [{"raw_text": "same text", "form_fields": [field]}]})).withColumn("ord", F.lit(0))
+        return pages
+
+    def verdict(x, y):
+        a, b = page_structs(first(x), "a"), page_structs(first(y), "b")
+        r = compare_pages(a.join(b, ["package_id", "ord"])).first()
+        return r.exact, r.veto
+
+    assert verdict(("n", "/Tx", "v"), ("n", "/Tx", "v")) == (True, None)
+    assert verdict(("n", "/Tx", "v"), ("n", "/Ch", "v")) == (False, "form_values")
+    assert verdict(("n", "/Tx", None), ("n", "/Tx", "")) == (False, "form_values")
+
+
+def test_blank_layout_tells_strict_from_tolerant(spark):
+    from quire.operators.content import blank_layout
+
+    docs = {"A": ["text one", "", "text two"], "B": ["text one", "", "text two"], "C": ["text one", "text two"], "D": ["", "text one", "text two"]}
+    got = {r.document_id: r.blanks for r in blank_layout(fingerprint.page_fingerprints(pages_of(spark, docs))).collect()}
+    assert got["A"] == got["B"] and len(set(got.values())) == 3
+
+
+def test_long_chains_of_edges_are_finished(spark):
+    from quire.operators.graph import components
+
+    edges = spark.createDataFrame([("P", f"{i:04d}", f"{i + 1:04d}") for i in range(300)], "package_id string, a string, b string")
+    assert {r.component for r in components(edges).collect()} == {"0000"}
