@@ -5,8 +5,10 @@ queries get 0 there. Two halves are quantised separately by CENTROIDS centroids
 CENTROIDS squared cells are told apart. A query's cells are visited in order of the sum of the two centroid distances, with a heap,
 until they hold enough vectors; those are reranked by the inner product itself in double precision.
 
-Cells are cut into blocks of BLOCK_ROWS vectors, small ones share a block, and queries into batches of QUERY_ROWS. A task has one
-block and one batch, so neither a cell that holds a third of all vectors nor the number of queries decides its memory.
+Cells are cut into blocks of BLOCK_ROWS vectors, small ones share a block. A block's vectors travel once; the queries that visit it follow
+them, a batch at a time, so neither a cell that holds a third of all vectors nor the number of queries decides a task's memory.
+What grows faster than the table is the number of visits: queries times blocks times SHARE. A smaller share visits less and finds
+less; share=1 visits all and is exact.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,12 +26,12 @@ from quire.llm.batches import map_arrow
 from quire.llm.scratch import Scratch
 from quire.llm.vectors import dots, matrix, usable
 
-CENTROIDS = 32
+CENTROIDS = 128
 #: The centroids are fitted on at most this many vectors, those with the smallest hash of their id.
 SAMPLE = 20_000
-#: A query visits cells until they hold so many vectors, and so large a share of all.
-LEAST, SHARE = 4096, 0.5
-BLOCK_ROWS, QUERY_ROWS = 8192, 2048
+#: A query visits cells until they hold so large a share of all vectors, and so many vectors for each one that it wants.
+SHARE, PER_RESULT = 0.4, 20
+BLOCK_ROWS, QUERY_ROWS = 8192, 256
 
 
 def fit(X: np.ndarray, k: int, seed: int = 3, rounds: int = 12) -> np.ndarray:
@@ -117,33 +118,54 @@ def _router(C1: np.ndarray, C2: np.ndarray, counts: np.ndarray, blocks: dict[int
     return run
 
 
+def _best_of(E: np.ndarray, ids: np.ndarray, cell: np.ndarray, Q: np.ndarray, qid: np.ndarray, may: np.ndarray, k: int) -> tuple[list, list, list]:
+    """The k best of a block for each query, among the vectors in cells that it visits. may: query by cell."""
+    out: tuple[list, list, list] = [], [], []
+    S = Q @ E.T
+    S[~may[:, cell] | (qid[:, None] == ids[None, :])] = -np.inf
+    least = np.partition(S, S.shape[1] - k, axis=1)[:, S.shape[1] - k] if S.shape[1] > k else np.full(len(S), -np.inf)
+    # What rounding may have put on the wrong side is kept and scored again in one fixed order.
+    slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+    for i in range(len(Q)):
+        near = np.flatnonzero((S[i] >= least[i] - slack[i]) & np.isfinite(S[i]))
+        score = dots(E[near], Q[i])
+        best = np.lexsort((ids[near], -score))[:k]
+        out[0].extend([int(qid[i])] * len(best)), out[1].extend(ids[near][best].tolist()), out[2].extend(score[best].tolist())
+    return out
+
+
 def _ranker(k: int, n_cells: int):
-    def rank(entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = {"q": [], "id": [], "score": []}
-        if len(entries) and len(asked):
-            E, ids, cell = np.array([np.frombuffer(v) for v in entries["v"]]), entries["id"].to_numpy(), entries["cell"].to_numpy()
-            for a in range(0, len(asked), 256):
-                part = asked.iloc[a : a + 256]
-                Q, qid = np.array([np.frombuffer(v) for v in part["qv"]]), part["q"].to_numpy()
-                S = Q @ E.T
-                may = np.zeros((len(part), n_cells), bool)
-                for i, c in enumerate(part["cells"]):
-                    may[i, np.frombuffer(c, np.int32)] = True
-                S[~may[:, cell] | (qid[:, None] == ids[None, :])] = -np.inf
-                least = np.partition(S, S.shape[1] - k, axis=1)[:, S.shape[1] - k] if S.shape[1] > k else np.full(len(S), -np.inf)
-                # What rounding may have put on the wrong side is kept and scored again in one fixed order.
-                slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
-                for i in range(len(part)):
-                    near = np.flatnonzero((S[i] >= least[i] - slack[i]) & np.isfinite(S[i]))
-                    score = dots(E[near], Q[i])
-                    best = np.lexsort((ids[near], -score))[:k]
-                    out["q"].extend([qid[i]] * len(best)), out["id"].extend(ids[near][best].tolist()), out["score"].extend(score[best].tolist())
-        return pd.DataFrame(out).astype({"q": "int64", "id": "int64", "score": "float64"})
-
-    return rank
-
-
-def search(df: DataFrame, queries: DataFrame, k: int = 20, least: int = LEAST, share: float = SHARE, centroids: int = CENTROIDS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Reads rows sorted by block, a block's vectors (kind 0) before its queries (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, E = None, [], None
+        for batch in batches:
+            blocks, kinds, ids = (np.asarray(batch.column(j)) for j in range(3))
+            edge = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1]), [True]]))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if blocks[a] != block:
+                    block, held, E = blocks[a], [], None
+                part = batch.slice(a, b - a)
+                X = np.array([np.frombuffer(v) for v in part.column(4).to_pylist()])
+                if kinds[a] == 0:
+                    held.append((X, ids[a:b], np.asarray(part.column(3))))
+                    continue
+                if not held:
+                    continue
+                if E is None:
+                    E = [np.concatenate([h[j] for h in held]) for j in range(3)]
+                for c in range(0, len(X), QUERY_ROWS):
+                    some = part.column(5).slice(c, QUERY_ROWS).to_pylist()
+                    may = np.zeros((len(some), n_cells), bool)
+                    for i, cells in enumerate(some):
+                        may[i, np.frombuffer(cells, np.int32)] = True
+                    q, found, score = _best_of(*E, X[c : c + QUERY_ROWS], ids[a:b][c : c + QUERY_ROWS], may, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.float64())], names=["q", "id", "score"])
+
+    return run
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = 20, least: int | None = None, share: float = SHARE, centroids: int = CENTROIDS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k rows of df found with the largest inner product, its own id aside.
 
     Nearest first, ties to the smaller id, ranks from 1; all candidates if there are fewer than k. Vectors that are null, empty,
@@ -182,15 +204,16 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, least: int = LEAST, s
             if filled + counts[cell] > BLOCK_ROWS:
                 g, filled = g + 1, 0
             blocks[cell], filled = [g], filled + counts[cell]
-    enough = max(least, int(share * int(counts.sum())))
+    enough = max(PER_RESULT * k if least is None else least, int(share * int(counts.sum())))
     plan = spark.createDataFrame([(c, bs[0], len(bs)) for c, bs in blocks.items()], "cell int, first int, parts int")
-    batches = max(1, -(-asked.count() // QUERY_ROWS))
     entries = cells.join(F.broadcast(plan), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
-    entries = entries.select("block", "id", "cell", "v", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
+    none = F.lit(None).cast("binary")
+    entries = entries.select("block", F.lit(0).alias("kind"), "id", "cell", "v", none.alias("cells"))
     encoded = map_arrow(asked, _assigner(C1, C2, longest), "id long, cell int, v binary").select("id", "v")
     routed = map_arrow(encoded, _router(C1, C2, counts, blocks, enough), "block int, q long, qv binary, cells binary")
-    routed = routed.withColumn("batch", F.pmod(F.xxhash64("q"), F.lit(batches)).cast("int"))
-    ranked = entries.groupBy("block", "batch").cogroup(routed.groupBy("block", "batch")).applyInPandas(_ranker(places, len(counts)), "q long, id long, score double")
+    routed = routed.select("block", F.lit(1).alias("kind"), F.col("q").alias("id"), F.lit(-1).alias("cell"), F.col("qv").alias("v"), "cells")
+    both = entries.unionByName(routed).repartition("block").sortWithinPartitions("block", "kind", "id")
+    ranked = map_arrow(both, _ranker(places, len(counts)), "q long, id long, score double")
     best = ranked.groupBy("q", "id").agg(F.max("score").alias("score"))
     order = W.partitionBy("q").orderBy(F.desc("score"), "id")
     top = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -82,7 +82,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": sql.OP2,
-        "op4_multi_index": sql.OP4,
         "op6_preference": sql.OP6,
         "op7_line_dedup": sql.OP7,
         "op8_embedding_dedup": sql.OP8,

@@ -1,5 +1,7 @@
 """Vector search and vector dedup against brute force."""
 
+import os
+
 import numpy as np
 import pytest
 from quire.llm.embedding_dedup import decode, near_duplicate_embeddings
@@ -55,6 +57,35 @@ def test_search_reaches_recall_with_few_cells(spark):
     assert hits / 300 >= 0.9
 
 
+def recall(spark, df, ids, V, **settings):
+    """The share of the 20 nearest of each query that search() finds; equal scores count as found."""
+    got = search(df, df.filter("vec_id % 20 = 0"), k=20, **settings).collect()
+    asked = np.flatnonzero(ids % 20 == 0)
+    S = V[asked] @ V.T
+    S[np.arange(len(asked)), asked] = -np.inf
+    bar = dict(zip(ids[asked].tolist(), np.sort(S, axis=1)[:, -20].tolist(), strict=True))
+    assert len({(r.query_id, r.vec_id) for r in got}) == len(got) == 20 * len(asked)
+    return sum(r.score >= bar[r.query_id] - 1e-12 for r in got) / len(got)
+
+
+def test_search_reaches_recall_as_it_is_set(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((12, 48)) * 0.7
+    V = (centres[rng.integers(0, 12, 4000)] + rng.standard_normal((4000, 48))).astype(np.float32).astype(float)
+    V /= np.linalg.norm(V, axis=1, keepdims=True)
+    V = V.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, [float(x) for x in v], 1, "s") for i, v in enumerate(V)], SCHEMA)
+    assert recall(spark, df, np.arange(4000), V) >= 0.9
+    assert recall(spark, df, np.arange(4000), V, share=1.0) == 1.0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/embeddings.parquet"), reason="needs the driver's tables")
+def test_search_reaches_recall_on_the_tables(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    assert recall(spark, df, np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)) >= 0.9
+
+
 def test_cells_come_in_order_of_summed_distance():
     rng = np.random.default_rng(1)
     a, b = rng.random(6), rng.random(5)
