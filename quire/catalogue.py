@@ -16,7 +16,7 @@ from quire.functions import text as T
 from quire.operators import alignment, containment, content, exact, families, fingerprint, graph, keydocs, packing
 from quire.plans import engine, reports
 from quire.schema import RAW_PAGES, conform
-from quire.sources import decoders
+from quire.sources import decoders, inventory
 from quire.sources import testdata as D
 
 K = ["package_id", "document_id"]
@@ -426,6 +426,32 @@ def difference_hashes(spark, sf_dir):
     return _grid(spark, sf_dir).select("vec_id", F.col("h").alias("dhash"))
 
 
+@query
+def difference_hash_grid(spark, sf_dir):
+    """The hash function itself, over each vector as an 8 x 8 picture."""
+    return D.table(spark, sf_dir, "embeddings").select("vec_id", S.difference_hash(F.col("embedding"), 8, 8).alias("dhash"))
+
+
+@query
+def blank_images(spark, sf_dir):
+    """Vectors as grey pixels from 0 to 255; the first third of the labels is nearly white."""
+    shade = F.when(F.col("label") < 4, 254).otherwise(0)
+    pixels = F.transform("embedding", lambda x: F.greatest(shade, F.least(F.lit(255), F.floor(F.abs(x.cast("double")) * 1000))).cast("int"))
+    return D.table(spark, sf_dir, "embeddings").select("vec_id", S.is_blank_image(pixels).alias("is_blank"))
+
+
+@query
+def shortened_paths(spark, sf_dir):
+    path = F.concat(F.translate("text", "\n", "/"), F.lit(".pdf"))
+    return D.table(spark, sf_dir, "documents").select("doc_id", N.shortened(path).alias("path"))
+
+
+@query
+def admitted_entries(spark, sf_dir):
+    """Entries of a package in order while it has at most 150 of them and 300,000 bytes."""
+    return inventory.over_limits(D.occurrences(spark, sf_dir), 150, 300_000).select(*K, "admitted")
+
+
 @query
 def hamming_distances(spark, sf_dir):
     g = _grid(spark, sf_dir)

@@ -201,6 +201,19 @@ SELECT package_id, part, sum(p)::BIGINT AS page_count, count(*) AS n_documents,
     "exact_normalized": f"SELECT doc_id, sha256({NORMAL.format('text')}) AS sha FROM documents",
     "difference_hashes": """
 SELECT vec_id, list_sum([CASE WHEN embedding[i] < embedding[i + 1] THEN 1::HUGEINT << (63 - i) ELSE 0 END FOR i IN range(1, 64)])::BIGINT AS dhash FROM embeddings""",
+    "difference_hash_grid": """
+SELECT vec_id, list_sum([CASE WHEN embedding[(i // 7) * 8 + i % 7 + 1] < embedding[(i // 7) * 8 + i % 7 + 2] THEN 1::HUGEINT << (55 - i) ELSE 0 END FOR i IN range(0, 56)])::BIGINT AS dhash FROM embeddings""",
+    "blank_images": """
+WITH p AS (SELECT vec_id, [greatest(CASE WHEN label < 4 THEN 254 ELSE 0 END, least(255, floor(abs(x::DOUBLE) * 1000)))::DOUBLE FOR x IN embedding] AS p FROM embeddings),
+m AS (SELECT vec_id, list_sum(p) / len(p) AS mean, list_sum([x * x FOR x IN p]) / len(p) AS square, len([x FOR x IN p IF x < 220])::DOUBLE / len(p) AS ink FROM p)
+SELECT vec_id, ink <= 0.0008 AND square - mean * mean <= 40.0 AS is_blank FROM m""",
+    "shortened_paths": r"""
+WITH p AS (SELECT doc_id, replace(text, chr(10), '/') || '.pdf' AS p FROM documents)
+SELECT doc_id, CASE WHEN length(p) <= 200 THEN p ELSE rtrim(left(left(p, length(p) - 4), 196), ' ') || '.pdf' END AS path FROM p""",
+    "admitted_entries": f"""
+WITH {OCC} SELECT package_id, document_id,
+  count(*) OVER w <= 150 AND coalesce(sum(bytes) OVER w, 0) <= 300000 AS admitted
+FROM occ WINDOW w AS (PARTITION BY package_id ORDER BY idx ROWS UNBOUNDED PRECEDING)""",
     "hamming_distances": """
 WITH h AS (SELECT vec_id, label, list_sum([CASE WHEN embedding[i] < embedding[i + 1] THEN 1::HUGEINT << (63 - i) ELSE 0 END FOR i IN range(1, 64)])::BIGINT AS h FROM embeddings),
 n AS (SELECT *, lead(h) OVER (PARTITION BY label ORDER BY vec_id) AS n FROM h)
