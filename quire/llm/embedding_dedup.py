@@ -27,8 +27,8 @@ from quire.llm.components import connected_components
 from quire.llm.scratch import Scratch
 from quire.llm.vectors import matrix, usable
 
-BLOCKS, CODE, DECODED = 4, 32, 16
-BLOCK_ROWS = 1024
+BLOCKS, CODE, DECODED = 4, 32, 32
+BLOCK_ROWS, COLUMNS = 1024, 2048
 
 
 def code(dim: int, seed: int = 5) -> tuple[np.ndarray, list[slice], list[np.ndarray]]:
@@ -91,6 +91,23 @@ def _spanning(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _meet_before(lists: list[np.ndarray], f: int) -> np.ndarray:
+    """Which rows share a filter before f, COLUMNS filters at a time; filters of one row alone don't matter."""
+    n = len(lists)
+    shared = np.zeros((n, n), bool)
+    values, owner = np.concatenate(lists), np.repeat(np.arange(n), [len(x) for x in lists])
+    values, owner = values[values < f], owner[values < f]
+    _, at, count = np.unique(values, return_inverse=True, return_counts=True)
+    held = count[at] > 1
+    column, owner = (np.cumsum(count > 1) - 1)[at[held]], owner[held]
+    for a in range(0, int((count > 1).sum()), COLUMNS):
+        some = (column >= a) & (column < a + COLUMNS)
+        M = np.zeros((n, COLUMNS), np.float32)
+        M[owner[some], column[some] - a] = 1
+        shared |= M @ M.T > 0
+    return shared
+
+
 def _compare(rows: list[tuple], f: int, cross: bool, threshold: float):
     """rows: (id, block flag, v, w, filters). Links between all rows of one block, or between two blocks."""
     ids = np.array([r[0] for r in rows], np.int64)
@@ -103,15 +120,7 @@ def _compare(rows: list[tuple], f: int, cross: bool, threshold: float):
         near &= side[:, None] != side[None, :]
     if not near.any():
         return [], [], []
-    lists = [np.array(r[4], np.int64) for r in rows]
-    earlier = [x[x < f] for x in lists]
-    known = np.unique(np.concatenate(earlier)) if earlier else np.zeros(0, np.int64)
-    first = near
-    if len(known):
-        M = np.zeros((len(rows), len(known)), np.float32)
-        for i, x in enumerate(earlier):
-            M[i, np.searchsorted(known, x)] = 1
-        first = near & (M @ M.T == 0)
+    first = near & ~_meet_before([np.array(r[4], np.int64) for r in rows], f)
     weight = np.array([r[3] for r in rows], np.int64)
     root = _spanning(near)
     return ids, first @ weight, ids[root]

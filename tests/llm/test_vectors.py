@@ -107,6 +107,28 @@ def test_decoding_finds_the_best_filters():
         assert set(got.tolist()) == set(np.argsort(-total)[: len(got)].tolist())
 
 
+def test_rows_that_meet_before_a_filter():
+    from quire.llm import embedding_dedup as E
+
+    rng = np.random.default_rng(4)
+    lists = [np.sort(rng.choice(9000, 40, replace=False)) for _ in range(300)]
+    got = E._meet_before(lists, 6000)
+    want = np.array([[bool(set(x[x < 6000].tolist()) & set(y[y < 6000].tolist())) for y in lists] for x in lists])
+    off = ~np.eye(300, dtype=bool)
+    assert (got[off] == want[off]).all() and not E._meet_before(lists, 0).any()
+
+
+def test_filters_meet_at_the_threshold():
+    """Of pairs with cosine 0.98 exactly, next to none share no filter."""
+    rng = np.random.default_rng(3)
+    X, N = rng.standard_normal((2, 4000, 64))
+    X /= np.linalg.norm(X, axis=1, keepdims=True)
+    N -= (N * X).sum(1, keepdims=True) * X
+    N /= np.linalg.norm(N, axis=1, keepdims=True)
+    A, B = decode(X), decode(0.98 * X + np.sqrt(1 - 0.98**2) * N)
+    assert sum(not np.intersect1d(a, b).size for a, b in zip(A, B, strict=True)) <= 4
+
+
 def test_near_duplicates(spark, odd):
     rows = rows_of()
     df = spark.createDataFrame(rows + odd + [(950, rows[0][1], None, "s"), rows[7]], SCHEMA)
