@@ -16,7 +16,7 @@ from quire.functions import text as T
 from quire.operators import alignment, containment, content, exact, families, fingerprint, graph, keydocs, packing
 from quire.plans import engine, reports
 from quire.schema import RAW_PAGES, conform
-from quire.sources import decoders, inventory
+from quire.sources import decoders, inventory, sinks
 from quire.sources import testdata as D
 
 K = ["package_id", "document_id"]
@@ -334,7 +334,8 @@ def compare_categories(spark, sf_dir):
 
 
 def _run(spark, sf_dir, aware=True):
-    return engine.build(D.occurrences(spark, sf_dir), D.raw_pages(spark, sf_dir), Config(max_pages_per_part=100, content_aware=aware))
+    raw = D.raw_pages(spark, sf_dir)
+    return engine.build(D.occurrences(spark, sf_dir), raw, Config(max_pages_per_part=100, content_aware=aware), rehashed=D.rehashed(raw))
 
 
 @query
@@ -402,9 +403,95 @@ def content_final_parts(spark, sf_dir):
     return _part_rows(_run(spark, sf_dir))
 
 
+@query
+def version_groups(spark, sf_dir):
+    run = _run(spark, sf_dir)
+    return reports.version_groups(reports.version_report(run.occurrences, run.versions))
+
+
+@query
+def processing_lines(spark, sf_dir):
+    run = _run(spark, sf_dir)
+    return reports.processing_lines(run.occurrences, run.original_parts, run.final_parts, run.checks)
+
+
+@query
+def part_lines(spark, sf_dir):
+    return reports.part_lines(packing.parts(_packed(spark, sf_dir), PAGES_A_PART, BYTES_A_PART))
+
+
+@query
+def rebuilt_parts(spark, sf_dir):
+    """The planned parts when a document has as many bytes as pages and a part may have 10."""
+    members = _packed(spark, sf_dir)
+    return packing.rebuilt(members, members.select(*K, F.col("pages").alias("bytes")), 10)
+
+
+@query
+def extracted_pages(spark, sf_dir):
+    pages = _marked_pages(spark, sf_dir)
+    docs = D.table(spark, sf_dir, "documents").select(F.lit("P").alias("package_id"), F.format_string("DOC-%06d", "doc_id").alias("document_id"), F.col("doc_id").alias("traversal_index"))
+    return sinks.extracted_pages(keydocs.numbered(keydocs.find_key_documents(pages), docs), pages).select("document_id", "category", F.col("page_index").cast("long").alias("page_index"))
+
+
+@query
+def key_document_report(spark, sf_dir):
+    """Packages of 40 neighbouring documents."""
+    block = F.floor(F.substring("document_id", 5, 20).cast("long") / COMPARED)
+    pages = _marked_pages(spark, sf_dir).withColumn("package_id", F.concat(F.lit("P-"), block.cast("string")))
+    docs = pages.select(*K).distinct().withColumns({"traversal_index": F.substring("document_id", 5, 20).cast("int"), "original_filename": F.concat("document_id", F.lit(".pdf"))})
+    return reports.key_document_report(docs, keydocs.numbered(keydocs.find_key_documents(pages), docs.drop("original_filename")))
+
+
+@query
+def comparison_manifest(spark, sf_dir):
+    return reports.comparison_manifest(alignment.compare_packages(*_sides(spark, sf_dir)))
+
+
 # Sources and signals.
 
 
+@query
+def source_hashes(spark, sf_dir):
+    """Packages of 40 neighbouring documents of a language, even ids against odd ones."""
+    docs = D.table(spark, sf_dir, "documents").filter("text is not null")
+    package = F.concat_ws("-", F.coalesce("lang", F.lit("?")), F.floor(F.col("doc_id") / COMPARED).cast("string"))
+    return sinks.source_hash(docs.select(package.alias("package_id"), (F.col("doc_id") % 2).cast("int").alias("side"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha")))
+
+
+@query
+def output_folders(spark, sf_dir):
+    """Half of the customers go by name, half by source and time."""
+    named, none = F.col("c_custkey") % 2 == 0, F.lit("")
+    name = N.output_folder(F.when(named, F.col("c_mktsegment")).otherwise(""), F.when(named, F.col("c_name")).otherwise(""), F.lit(False), none, none, F.concat("c_name", F.lit(".zip")), F.to_timestamp(F.lit("2026-01-02 03:04:05")))
+    return D.table(spark, sf_dir, "customer").select("c_custkey", name.alias("folder"))
+
+
+@query
+def unconverted_targets(spark, sf_dir):
+    """Five paths for each 40 neighbouring pages, so most carry an id."""
+    page = F.col("page_id")
+    lost = D.table(spark, sf_dir, "pages").select(
+        F.floor(page / COMPARED).cast("string").alias("package_id"), F.format_string("DOC-%06d", page.cast("long")).alias("document_id"), page.alias("traversal_index"),
+        F.concat(F.lit("in//"), (page % 5).cast("string"), F.lit(".eml")).alias("original_relative_path"), F.lit("unconverted_placeholder").alias("status"),
+    )
+    return sinks.unconverted_copies(lost)
+
+
+@query
+def bundled_names(spark, sf_dir):
+    files = D.table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / COMPARED).cast("string").alias("package_id"), F.col("p_partkey").alias("at"), F.concat(F.element_at(F.split("p_type", " "), 1), F.lit(".txt")).alias("name"))
+    return sinks.bundled(files)
+
+
+@query
+def history_entries(spark, sf_dir):
+    """A log with a broken line for every third document."""
+    line = F.to_json(F.struct(F.coalesce("lang", F.lit("")).alias("last_name"), F.col("source").alias("first_name"), F.col("doc_id").cast("string").alias("loan_number"), (F.col("doc_id") % 2 == 0).alias("is_adverse"), F.col("n_chars").cast("int").alias("document_count")))
+    log = D.table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 3 == 0, "{broken").otherwise(line).alias("value"))
+    return sinks.history_rows(log).select("last_name", "first_name", "loan_number", "is_adverse", F.col("document_count").cast("long").alias("document_count"), "status")
+
+
 @query
 def html_blocks(spark, sf_dir):
     return D.table(spark, sf_dir, "pages").select("page_id", F.posexplode(decoders.blocks_of_html("html")).alias("block_no", "block"))

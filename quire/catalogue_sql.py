@@ -222,3 +222,28 @@ SELECT vec_id, bit_count(xor(h, n))::BIGINT AS distance FROM n WHERE n IS NOT NU
 WITH c AS (SELECT vec_id, [abs(round(x::DOUBLE * 255)) FOR x IN embedding[1:6]] AS c FROM embeddings)
 SELECT vec_id, round(1.0 - sqrt(pow(c[1] - c[4], 2) + pow(c[2] - c[5], 2) + pow(c[3] - c[6], 2)) / sqrt(3 * 255.0 * 255.0), 9) AS similarity FROM c""",
 }
+
+CLOSED = "CASE x WHEN 'page_maximum' THEN 'the next document would exceed the page maximum' WHEN 'oversized_document' THEN 'one document is larger than a part may be' ELSE 'end of the package' END"
+SQL |= {
+    "part_lines": f"""
+SELECT package_id, part, printf('%d documents, %d pages, 0 bytes', n_documents, page_count) || CASE WHEN is_oversized THEN ' (one oversized document)' ELSE '' END || ': ' ||
+  array_to_string([{CLOSED} FOR x IN string_split(close_reasons, '|')], '; ') AS line FROM ({SQL['close_reasons']})""",
+    "extracted_pages": f"""
+SELECT document_id, category, g AS page_index FROM (SELECT *, unnest(range(first_page - 1, last_page)) AS g FROM ({SQL['key_doc_ranges']}) WHERE confidence_band IN ('Confirmed', 'Strong Match'))""",
+    "source_hashes": """
+WITH f AS (
+  SELECT coalesce(lang, '?') || '-' || (doc_id // 40)::VARCHAR AS package_id, doc_id, hex(doc_id::VARCHAR || '.txt') || hex(strlen(text)::VARCHAR) || upper(sha256(text)) AS h FROM documents WHERE text IS NOT NULL)
+SELECT package_id, sha256(unhex(coalesce(string_agg(h, '' ORDER BY doc_id) FILTER (doc_id % 2 = 0), '') || hex('|side|') || coalesce(string_agg(h, '' ORDER BY doc_id) FILTER (doc_id % 2 = 1), '') || hex('|side|'))) AS hash
+FROM f GROUP BY 1""",
+    "output_folders": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ', ' || c_name ELSE c_name || '_Lender_Package_Output_20260102_030405' END AS folder FROM customer",
+    "unconverted_targets": """
+WITH p AS (SELECT (page_id // 40)::VARCHAR AS package_id, printf('DOC-%06d', page_id) AS document_id, page_id % 5 AS k, row_number() OVER (PARTITION BY page_id // 40, page_id % 5 ORDER BY page_id) AS nth FROM pages)
+SELECT package_id, document_id, 'in/' || k::VARCHAR || CASE WHEN nth > 1 THEN '_' || document_id ELSE '' END || '.eml' AS target FROM p""",
+    "bundled_names": """
+WITH p AS (SELECT (p_partkey // 40)::VARCHAR AS package_id, p_partkey::INTEGER AS "at", string_split(p_type, ' ')[1] AS n FROM part),
+q AS (SELECT *, row_number() OVER (PARTITION BY package_id, n ORDER BY "at") AS k FROM p)
+SELECT package_id, "at", n || '.txt' AS name, n || CASE WHEN k > 1 THEN ' (' || k::VARCHAR || ')' ELSE '' END || '.txt' AS target FROM q""",
+    "history_entries": """
+SELECT coalesce(lang, '') AS last_name, coalesce(source, '') AS first_name, doc_id::VARCHAR AS loan_number, doc_id % 2 = 0 AS is_adverse, coalesce(n_chars, 0)::BIGINT AS document_count, '' AS status
+FROM documents WHERE doc_id % 3 <> 0""",
+}

@@ -90,3 +90,22 @@ def with_copy_number(name: Column, copy: Column, form: str = " (%d)") -> Column:
     ext = F.regexp_extract(name, r"(\.[^./\\]+)$", 1)
     stem = F.left(name, F.length(name) - F.length(ext))
     return F.when(copy <= 1, name).otherwise(F.concat(stem, F.format_string(form, copy), ext))
+
+
+def output_folder(last: Column, first: Column, adverse: Column, lender: Column, loan: Column, source: Column, at: Column) -> Column:
+    """The folder of a run: named after the borrower or, if nobody is named, after the source (a name without its extension) and the time."""
+    known = F.exists(F.array(last, first, loan), lambda x: F.coalesce(x, F.lit("")) != "")
+    tail = F.concat(F.lit("_Lender_Package_Output_"), F.date_format(at, "yyyyMMdd_HHmmss"))
+    stem = F.regexp_replace(source, r"(?<=.)\.[^./\\]+$", "")
+    return F.when(known, shortened(folder_name(last, first, adverse, lender, loan))).otherwise(F.concat(shortened(stem, 160), tail))
+
+
+def unconverted_path(path: Column) -> Column:
+    """Where the original of a file without conversion is kept: each part of its path is short, empty ones go."""
+    return F.coalesce(F.nullif(F.array_join(F.transform(segments(path), lambda p: shortened(p)), "/"), F.lit("")), F.lit("unnamed"))
+
+
+def with_id(path: Column, document_id: Column) -> Column:
+    """A path with the document's id before its extension."""
+    ext = F.regexp_extract(path, r"[^/](\.[^./\\]+)$", 1)
+    return F.concat(F.left(path, F.length(path) - F.length(ext)), F.lit("_"), document_id, ext)

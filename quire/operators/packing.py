@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,7 +50,33 @@ def offsets(members: DataFrame, keys: tuple[str, ...] = ("package_id",)) -> Data
     return members.withColumn("offset_in_part", before(*keys, "part")).withColumn("offset_overall", before(*keys))
 
 
-def rebuilt(members: DataFrame, actual_bytes: DataFrame, max_pages: int, max_bytes: int, keys: tuple[str, ...] = ("package_id",)) -> DataFrame:
-    """The plan again, with the sizes that documents really have (keys, document_id, bytes): what no longer fits moves to the next part."""
-    sized = members.drop("bytes", "part").join(actual_bytes, [*keys, "document_id"], "left").withColumnsRenamed({"pages": "converted_page_count", "bytes": "converted_size_bytes"})
-    return plan_parts(sized, max_pages, max_bytes, keys)
+REBUILT = "package_id string, document_id string, bytes long, position int, part int"
+
+
+def rebuilt(members: DataFrame, actual_bytes: DataFrame, max_bytes: int) -> DataFrame:
+    """The parts of a plan when documents have the sizes of actual_bytes (package_id, document_id, bytes).
+
+    From the first part on, what makes a part too large goes, last document first, to the front of the next one; the first document of a part always
+    stays. Page limits aren't looked at again. A size that isn't given is the planned one. Packages are independent, a package is one task.
+    """
+    sized = members.select("package_id", "document_id", "traversal_index", "part", F.col("bytes").alias("planned")).join(actual_bytes.select("package_id", "document_id", F.col("bytes").alias("real")), ["package_id", "document_id"], "left")
+    sized = sized.select("package_id", "document_id", "traversal_index", "part", F.coalesce("real", "planned", F.lit(0)).cast("long").alias("bytes"))
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["part", "traversal_index", "document_id"])
+        planned = [list(zip(g.document_id, g.bytes)) for _, g in frame.groupby("part")]
+        out, over, part = [], [], 0
+        while part < len(planned) or over:
+            rows = over + (planned[part] if part < len(planned) else [])
+            total, fit = sum(size for _, size in rows), len(rows)
+            while fit > 1 and total > max_bytes:
+                fit -= 1
+                total -= rows[fit][1]
+            part += 1
+            out += [(d, size, k, part) for k, (d, size) in enumerate(rows[:fit], 1)]
+            over = rows[fit:]
+        done = pd.DataFrame(out, columns=["document_id", "bytes", "position", "part"])
+        done.insert(0, "package_id", frame.package_id.iloc[0])
+        return done.astype({"position": "int32", "part": "int32"})
+
+    return sized.groupBy("package_id").applyInPandas(settle, REBUILT)

@@ -29,6 +29,12 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(lines.withColumns({"width": F.lit(612.0), "height": F.lit(792.0), "rotation": F.lit(0)}), RAW_PAGES)
 
 
+def rehashed(pages: DataFrame) -> DataFrame:
+    """(package_id, document_id, sha) of documents put together again from their pages."""
+    lines = F.array_sort(F.collect_list(F.struct("page_index", "raw_text")))
+    return pages.groupBy("package_id", "document_id").agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["raw_text"]), "\n"), 256).alias("sha"))
+
+
 def packing_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as documents, their lines as pages, a customer as a package."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("converted_page_count"))
