@@ -154,3 +154,11 @@ def test_tagged_jobs_stop(spark):
     with pytest.raises(Exception, match="(?i)cancel"), control.cancellable(spark, "slow"):
         spark.range(4).mapInPandas(lambda it: (__import__("time").sleep(20) or f for f in it), "id long").collect()
     assert spark.range(3).count() == 3
+
+
+def test_versions_and_findings_in_groups(spark):
+    rows = [("P", 1, "v1", "B", True), ("P", 1, "v1", "A", False), ("P", 1, "v2", "C", True), ("Q", 1, "v1", "A", True)]
+    report = spark.createDataFrame(rows, "package_id string, family int, version string, document_id string, retained boolean")
+    assert {(r.package_id, r.family, r.version, tuple(r.members), r.retained) for r in reports.version_groups(report).collect()} == {("P", 1, "v1", ("A", "B"), 1), ("P", 1, "v2", ("C",), 1), ("Q", 1, "v1", ("A",), 1)}
+    found = spark.createDataFrame([("P", "F1", "Only in Old", 3, None)], "package_id string, finding_id string, category string, old_page int, new_page int")
+    assert reports.comparison_manifest(found).first().json == '{"package_id":"P","finding_id":"F1","category":"Only in Old","old_page":3,"new_page":null}'
