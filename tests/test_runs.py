@@ -4,6 +4,7 @@ import datetime
 import io
 import itertools
 import random
+import re
 import zipfile
 
 import pytest
@@ -13,7 +14,7 @@ from quire.config import Config
 from quire.functions import naming as N
 from quire.operators import containment, packing
 from quire.plans import control, reports
-from quire.sources import inventory, sinks
+from quire.sources import inventory, sinks, testdata
 
 
 def zipped(entries):
@@ -53,6 +54,13 @@ def test_overlaps_are_those_of_brute_force(spark, least):
     assert {(x.document_id, x.container_id, x.start, x.end) for x in containment.exact_containment(pages, sizes).collect()} == whole
 
 
+def test_overlaps_of_the_tables_deal_out_hashes_and_no_lines(spark):
+    found = containment.partial_overlap(*testdata.merged_pages(spark, "/root/testdata/sf0.001"))
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert dealt and not [x for x in dealt if re.search(r"\bline#", x)]
+
+
 def test_rebuilt_parts_pop_the_last_document(spark):
     plan = [("P", d, i, 1, 1, part) for i, (d, part) in enumerate([("A", 1), ("B", 1), ("C", 1), ("D", 2), ("E", 3)])] + [("Q", "X", 1, 1, 1, 1)]
     members = spark.createDataFrame(plan, "package_id string, document_id string, traversal_index int, pages int, bytes long, part int")
