@@ -167,7 +167,8 @@ def _bit_map(values: DataFrame, count: int) -> np.ndarray:
 
 
 def _hits(bits):
-    """A row for each prefix token that may join two components, with the document's first few such tokens as far as they stand before it."""
+    """A row for each prefix token that may join two components, with the number of the set's shingles from it on, in order, and the
+    document's first few such tokens as far as they stand before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -177,15 +178,16 @@ def _hits(bits):
                 values, at = np.asarray(lists.values), np.asarray(lists.offsets)
                 owner = np.repeat(np.arange(len(lists)), np.diff(at))
                 values = values[at[0] : at[-1]]
+                rest = np.asarray(batch.column(1))[owner] - (np.arange(len(owner)) - (at[:-1] - at[0])[owner])
                 hit = _may_hold(bits.value, values)
-                owner, values = owner[hit], values[hit]
+                owner, values, rest = owner[hit], values[hit], rest[hit]
                 first = np.searchsorted(owner, np.arange(len(lists) + 1))
                 n = np.minimum(np.arange(len(owner)) - first[owner], EARLIER)
                 begin = np.concatenate([[0], np.cumsum(n)])
                 source = np.repeat(first[owner] - begin[:-1], n) + np.arange(int(begin[-1]))
                 earlier = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values[source]))
                 owner = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([*[batch.column(j).take(owner) for j in range(4)], pa.array(values), earlier], names=["id", "n", "comp", "parity", "token", "earlier"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(j).take(owner) for j in range(4)], pa.array(values), pa.array(rest.astype(np.int32)), earlier], names=["id", "n", "comp", "parity", "token", "rest", "earlier"])
 
     return run
 
@@ -395,17 +397,19 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     mixed = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     mixed, count = scratch.counted(mixed, "mixed")
     bits = spark.sparkContext.broadcast(_bit_map(mixed, count))
-    postings = map_arrow(prefixes, _hits(bits), "id long, n long, comp long, parity array<long>, token long, earlier array<long>").withColumn("n", F.col("n").cast("int"))
+    postings = map_arrow(prefixes, _hits(bits), "id long, n long, comp long, parity array<long>, token long, rest int, earlier array<long>").withColumn("n", F.col("n").cast("int"))
     live = scratch.save(postings, "live")
     scratch.drop("prefixes", "mixed")
     # What the bit map let through beside the mixed tokens has one component and goes here.
     counts = live.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token")
     largest = counts.agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
     live = live.join(largest, "token")
-    left = live.filter("comp <> top").select("token", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("comp").alias("ci"), F.col("parity").alias("pi"), F.col("earlier").alias("ei"))
-    right = live.select("token", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("comp").alias("cj"), F.col("parity").alias("pj"), F.col("earlier").alias("ej"), (F.col("comp") == F.col("top")).alias("dominant"))
+    left = live.filter("comp <> top").select("token", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("comp").alias("ci"), F.col("parity").alias("pi"), F.col("rest").alias("ri"), F.col("earlier").alias("ei"))
+    right = live.select("token", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("comp").alias("cj"), F.col("parity").alias("pj"), F.col("rest").alias("rj"), F.col("earlier").alias("ej"), (F.col("comp") == F.col("top")).alias("dominant"))
     # A pair that shares several tokens is made at the first of them, as far as the postings remember.
-    fits = (F.col("ci") != F.col("cj")) & ~F.arrays_overlap("ei", "ej") & (F.col("dominant") | (F.col("i") < F.col("j"))) & _in_reach("ni", "nj", "pi", "pj", num, den)
+    # At the first that they share, all else they share comes later in both orders; what then is left must reach the threshold.
+    enough = F.least("ri", "rj").cast("long") * (num + den) >= (F.col("ni").cast("long") + F.col("nj")) * num
+    fits = (F.col("ci") != F.col("cj")) & enough & ~F.arrays_overlap("ei", "ej") & (F.col("dominant") | (F.col("i") < F.col("j"))) & _in_reach("ni", "nj", "pi", "pj", num, den)
     found = left.join(right, (left["token"] == right["token"]) & fits)
     swap = F.col("i") > F.col("j")
     end = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))

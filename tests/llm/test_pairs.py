@@ -2,7 +2,11 @@
 
 import random
 from collections import defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
+from quire.llm import ngram_jaccard
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.mixing import mix_sources
 from quire.llm.ngram_jaccard import ngram_jaccard_join
@@ -61,6 +65,18 @@ def test_jaccard_matches_brute_force(spark):
     assert sum(r.component_id != r.doc_id for r in got) > 8
 
 
+def test_postings_know_what_is_left_of_their_set():
+    """A pair meets at its first shared token only if what is left of both sets from there on can reach the threshold."""
+    lists = pa.array([[7, 8, 9], [], [8, 5]], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([20, 4, 10]), pa.array([1, 2, 3]), pa.array([[0]] * 3), lists], names=["id", "n", "comp", "parity", "p0"])
+    bits = np.zeros((1 << 17) // 8, np.uint8)
+    cells = ngram_jaccard._cells(np.array([8, 9]), 17)
+    np.bitwise_or.at(bits, cells >> np.uint64(3), np.uint8(1) << (cells & np.uint64(7)).astype(np.uint8))
+    for whole in (batch, pa.concat_batches([batch, batch]).slice(3)):
+        got = pa.Table.from_batches(ngram_jaccard._hits(SimpleNamespace(value=bits))([whole])).to_pydict()
+        assert list(zip(got["id"], got["token"], got["rest"])) == [(1, 8, 19), (1, 9, 18), (3, 8, 10)]
+
+
 def test_jaccard_of_nothing(spark):
     assert ngram_jaccard_join(docs(spark, [])).collect() == []
     assert sorted(r.component_id for r in ngram_jaccard_join(docs(spark, [(5, None), (6, "")])).collect()) == [5, 6]
