@@ -258,11 +258,31 @@ class _Scores(dict):
         return out
 
 
+def _fit(most: int):
+    """Rows (text, class) in their order to one row: what train() makes of their sample, the numbers as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((t.as_py(), y.as_py()) for whole in batches for batch in slices(whole, 0, BATCH_ROWS) for t, y in zip(batch.column(0), batch.column(1), strict=True))
+        texts, ys = sampled(rows, most, SAMPLE_WORDS)
+        if texts:
+            weights, bias = train(texts, ys)
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
+
+    return run
+
+
+def _fitted(rows: DataFrame, sample: int) -> tuple[bytes, float]:
+    """(float32 numbers a bucket as bytes, bias), fitted in one task on the bounded sample: the driver holds neither texts nor what training needs."""
+    ordered = rows.repartition(1).sortWithinPartitions("_h", "_i", "_t").select("_t", "_y")
+    got = map_arrow(ordered, _fit(sample), "weights binary, bias double").collect()
+    return (bytes(got[0].weights), got[0].bias) if got else (bytes(4 * BUCKETS), -30.0)
+
+
 def _scorer(shared, bias: float):
     """(id, held_out, text, *others) to (id, held_out, score, predicted, *others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Scores(np.asarray(shared.value, np.float64).tolist())
+        words = _Scores(np.frombuffer(shared.value, np.float32).astype(np.float64).tolist())
         for batch in (part for whole in batches for part in slices(whole, 2, BATCH_ROWS)):
             out = []
             for t in batch.column(2).to_pylist():
@@ -300,8 +320,7 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     chosen = known.filter("_y = 0").orderBy(*order).limit(sample).unionByName(known.filter("_y = 1").orderBy(*order).limit(sample))
     found = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("_t")).join(chosen, id_col)
     rows = found.select("_t", "_y", F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_i"))
-    texts, ys = sampled(((r._t, r._y) for r in rows.orderBy("_h", "_i", "_t").toLocalIterator()), sample, SAMPLE_WORDS)
-    weights, bias = train(texts, ys) if texts else (np.zeros(BUCKETS, np.float32), -30.0)
+    weights, bias = _fitted(rows, sample)
     shared = spark.sparkContext.broadcast(weights)  # BUCKETS numbers, whatever the input
     out = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("t"), *carried)
     fields = [out.schema["id"], *StructType.fromDDL("held_out boolean, score double, predicted int"), *out.schema.fields[3:]]

@@ -2,13 +2,14 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
-from quire.llm import pii
+from quire.llm import pii, toxicity
 from quire.llm.language_id import identify_languages
 from quire.llm.preference import conversations_as_rows, format_preferences, pair_conversations
 from quire.llm.segmentation import MODEL, Batch, decode_pieces, load, sample_segmentations
@@ -63,6 +64,19 @@ def test_toxicity(spark):
     assert {x.predicted for x in score_toxicity(df, labels.limit(0)).collect()} == {0}
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """Not in the driver, whose memory would grow by the sample and by what training holds."""
+    driver = os.getpid()
+    monkeypatch.setattr(toxicity, "train", lambda texts, ys: (np.zeros(toxicity.BUCKETS, np.float32), 1.0 if os.getpid() != driver and sorted(ys) == [0, 0, 1] and len(texts) == 3 else -1.0))
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "e f"), (4, None)], "doc_id long, text string")
+    ids = [i for i in range(1, 4) if zlib.crc32(str(i).encode()) % 5]
+    assert len(ids) == 3
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in score_toxicity(docs, labels).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 0}
+
+
+
 def test_training_is_repeatable():
     a, b = (train(["x good one", "bad idiot two"] * 8, [0, 1] * 8, epochs=2) for _ in range(2))
     assert a[1] == b[1] and (a[0] == b[0]).all()
