@@ -7,6 +7,7 @@ import random
 import re
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quire import __main__ as cli
@@ -54,6 +55,34 @@ def test_overlaps_are_those_of_brute_force(spark, least):
     assert {(x.document_id, x.container_id, x.start, x.end) for x in containment.exact_containment(pages, sizes).collect()} == whole
 
 
+def test_overlaps_deal_out_no_pairs_that_a_short_page_makes(spark, monkeypatch):
+    """300 documents of two or three pages with one page in common: only ends of longer runs are rows, and blocks of any size give the same."""
+    docs = {f"D{i:03}": ["common", f"own {i}"] + ["common", f"more {i % 40}"][: i % 3] for i in range(300)} | {"W": ["own 1", "common", "common", "own 1", "own 2", "common", "more 2"]}
+    rows = [("P", d, k, p) for d, ps in docs.items() for k, p in enumerate(ps)]
+    pages = spark.createDataFrame(rows, "package_id string, document_id string, ord int, page string").withColumn("text_hash", F.sha2("page", 256)).drop("page")
+    ends = containment.run_ends(containment.runs(pages), 0.4)
+    few = [d for d in docs if len(docs[d]) > 2]
+    assert ends.filter("begins").count() < 2000 < len(few) * (len(few) - 1) // 2
+    want = overlaps(docs, 0.4)[0]
+    got = lambda: [(x.document_id, x.container_id, x.run) for x in containment.partial_overlap(pages, pages, 0.4).collect()]
+    assert sorted(got()) == sorted(want)
+    for name, small in (("BLOCK", 100), ("CANDIDATES", 30)):
+        monkeypatch.setattr(containment, name, small)
+    assert sorted(got()) == sorted(want)
+
+
+def test_longest_runs_are_the_same_with_few_matches_at_once(monkeypatch):
+    r = np.random.default_rng(3)
+    size = r.integers(1, 9, 60)
+    code, side = r.integers(0, 6, size.sum()), r.integers(0, 2, 60)
+    docs = {i: c.tolist() for i, c in enumerate(np.split(code, np.cumsum(size)[:-1]))}
+    want = {x for x in overlaps(docs, 0.0)[0] if side[x[0]] == 0 and side[x[1]] == 1}
+    for most in (1, 50, 1 << 20):
+        monkeypatch.setattr(containment, "MATCHES", most)
+        got = [t for x in containment._longest_runs(size, code, side) for t in zip(*(v.tolist() for v in x), strict=True)]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_overlaps_of_the_tables_deal_out_hashes_and_no_lines(spark):
     found = containment.partial_overlap(*testdata.merged_pages(spark, "/root/testdata/sf0.001"))
     plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
